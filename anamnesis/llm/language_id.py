@@ -11,8 +11,8 @@ documents is narrow: no shuffle.
 Training text: labelled documents in the order of xxhash64(doc_id), up to
 ``TRAIN_CHARS`` characters a language, the documented bound of the fit.
 
-Defined cases: text is lower-cased, white space runs count as one space; a null
-or blank text has no phrases, score 0 and language null; a tie goes to the
+Defined cases: text is lower-cased, runs of anything but letters count as one
+space; a null text or one without letters has no phrases, score 0 and language null; a tie goes to the
 alphabetically first language; a null label trains nothing; without any label
 every language is null; equal rows get a row each; other columns are not read.
 """
@@ -32,11 +32,13 @@ from .frames import texts
 TRAIN_CHARS = 24_000
 TRAIN_DOCS = 64
 FEW = 48
+OTHER = np.ones(256, bool)
+OTHER[97:123] = OTHER[128:] = False
 
 
 def normalise(text: str) -> str:
-    """White space (ASCII) to single spaces, none at the ends."""
-    return re.sub(r"[\t-\r ]+", " ", text).strip(" ")
+    """Letters (and all that isn't ASCII); runs of anything else become one space, none at the ends."""
+    return re.sub("[^a-z\x80-\U0010ffff]+", " ", text).strip(" ")
 
 
 def suffix_automaton(text: str) -> list[dict[str, int]]:
@@ -172,7 +174,7 @@ def language_id(docs: DataFrame, training: dict[str, str] | None = None) -> Data
         p = shared.value
         names = np.array(p.languages, object)
         for batch, buf, offs in A.slices(batches, "text", 1 << 22):
-            space = A.SPACE_BYTE[buf]
+            space = OTHER[buf]
             starts, ends, _ = A.runs(space, offs)
             edge = np.zeros(len(buf) + 1, bool)
             edge[offs] = True
