@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .arms import dense
 
@@ -58,7 +58,7 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 def assign(memories: DataFrame, centroids: np.ndarray) -> DataFrame:
     """memories with cluster_id (null without vector)."""
     shared = memories.sparkSession.sparkContext.broadcast(centroids)  # root of TRAIN_ROWS rows at most
-    schema = memories.schema.add("cluster_id", "int")
+    schema = T.StructType([*memories.schema.fields, T.StructField("cluster_id", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

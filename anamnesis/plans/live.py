@@ -43,12 +43,18 @@ def live(log: DataFrame, predicates: dict[int, Predicate] | None = None, as_of:
     ops = log.where(F.col("kind").isin("upsert", "tombstone", "patch"))
     if as_of is not None:
         ops = ops.where(F.col("seq") <= as_of)
-    base = [c for c in log.columns if c in S.RECORD.names and c not in ("id", "write_seq")]
+    base = [c for c in log.columns if c in S.FIELDS and c not in ("id", "write_seq")]
     types = {f.name: f.dataType for f in log.schema.fields}
     order = F.struct("seq", "op_index")
     reset = F.max(F.when(F.col("kind") != "patch", order)).over(Window.partitionBy("id"))
     since = ops.withColumn("__reset", reset).where((order >= F.col("__reset"))).drop("__reset")
-    events = since.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "op_index", *(c for c in log.columns if c not in ("seq", "op_index", "id"))))).alias("ops"))
+
+    def earlier(a: Column, b: Column) -> Column:
+        before = (a["seq"] < b["seq"]) | ((a["seq"] == b["seq"]) & (a["op_index"] < b["op_index"]))
+        return F.when(before, -1).when((a["seq"] == b["seq"]) & (a["op_index"] == b["op_index"]), 0).otherwise(1)
+
+    gathered = F.collect_list(F.struct("seq", "op_index", *(c for c in log.columns if c not in ("seq", "op_index", "id"))))
+    events = since.groupBy("id").agg(F.array_sort(gathered, earlier).alias("ops"))
     state = F.struct(F.lit(False).alias("alive"), F.lit(None).cast("long").alias("write_seq"), *(F.lit(None).cast(types[c]).alias(c) for c in base))
     has = set(log.columns)
 

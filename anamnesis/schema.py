@@ -1,13 +1,15 @@
 """Record schema and the constants that define results."""
 
-from pyspark.sql import types as T
-
-RECORD = T.StructType.fromDDL(
+RECORD = (
     "id string, memory_type short, text string, index_text string, vector array<float>, tags array<string>, entity_ids array<string>, "
     "occurred_start long, occurred_end long, mentioned_at long, updated_at long, event_at long, proof_count long, "
     "semantic_out array<struct<target:string,weight:double>>, causal_out array<struct<target:string,link_type:string,weight:double>>, "
     "metadata map<string,string>, write_seq long"
 )
+FIELDS = (
+    "id", "memory_type", "text", "index_text", "vector", "tags", "entity_ids", "occurred_start", "occurred_end", "mentioned_at", "updated_at", "event_at",
+    "proof_count", "semantic_out", "causal_out", "metadata", "write_seq",
+)
 
 LINK_THRESHOLD, MAX_LINKS, LINK_DEPTH = 0.7, 5, 9
 SPREAD_MS, MAX_TEMPORAL_LINKS = 86_400_000, 20
