@@ -35,7 +35,7 @@ from .frames import shared_dir, texts
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LEXICON = 1 << 17
 SLICE = 1 << 21
-COUNT_SLICE = 1 << 22
+COUNT_SLICE = 1 << 21
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:

@@ -36,7 +36,7 @@ from .frames import texts
 RATE = 0.08
 MIN_LENGTH = 24
 GROUP_BYTES = 16 << 20
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 _WORD = re.compile("[a-z0-9\x80-\U0010ffff]+")
 

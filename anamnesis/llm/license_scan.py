@@ -37,7 +37,7 @@ K = 3
 WINDOW = 2
 BAND = 8
 COVERAGE = 0.75
-SLICE = 1 << 22
+SLICE = 1 << 21
 FILTER = 20
 
 

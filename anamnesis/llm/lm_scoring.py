@@ -39,7 +39,7 @@ from .frames import texts, written
 MASS = 2.0
 SHARD = 3 << 19
 GROUP_BYTES = 8 << 20
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:

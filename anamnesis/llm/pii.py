@@ -38,7 +38,7 @@ CONFIDENCE = 0.9
 SUPPORT = 5
 SMOOTHING = 0.5
 MAX_BROADCAST = 100_000
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 SEEDS = {
     "email": r"(?<![\w.+-])[\w.+-]{0,63}\w@(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,24}",

@@ -29,7 +29,7 @@ from . import arrays as A
 from .bpe import VOCABULARY, pretokens, read_ranks
 from .frames import texts
 
-SLICE = 1 << 22
+SLICE = 1 << 21
 LONG = 256
 KEPT = 1 << 20
 
