@@ -40,7 +40,7 @@ from .frames import parallelism, texts, written
 
 N = 5
 THRESHOLD = 0.5
-SLICE = 1 << 22
+SLICE = 1 << 20
 TILE = 1 << 11
 CHUNK = 1 << 22
 EPS = 1e-9
