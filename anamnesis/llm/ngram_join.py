@@ -316,8 +316,28 @@ def overlap(grams: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray
 PAIRS = "doc_a long, doc_b long, jaccard double"
 
 
-def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Exact similarity of the candidates; a pair is computed where the least neighbour of its first document is."""
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (root, member) of the components of edges (a, b), root the least node: as many as members, however many edges."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, x, root[y])
+        np.minimum.at(new, y, root[x])
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    member = root != np.arange(len(nodes))
+    return nodes[root[member]], nodes[member]
+
+
+def verify(pairs: DataFrame, sets: DataFrame, threshold: float, linked: bool = False) -> DataFrame:
+    """Exact similarity of the candidates; a pair is computed where the least neighbour of its first document is.
+
+    linked: only edges that keep the similar pairs of a neighbourhood connected, with jaccard null.
+    """
     lead = pairs.groupBy("b").agg(F.min("a").alias("least")).withColumnRenamed("b", "a")
     homed = pairs.join(lead, "a", "left").select(F.coalesce("least", "a").alias("home"), "a", "b")
     need = homed.select("home", F.col("a").alias("doc_id")).union(homed.select("home", "b")).distinct()
@@ -341,13 +361,16 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             both = overlap([m[2] for m in members], x, y)
             j = both / (n[x] + n[y] - both)
             ok = j >= threshold - EPS
-            if ok.any():
+            if ok.any() and linked:
+                root, member = stars(p[ok, 0], p[ok, 1])
+                yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(member), pa.nulls(len(root), pa.float64())], ["doc_a", "doc_b", "jaccard"])
+            elif ok.any():
                 yield pa.RecordBatch.from_arrays([pa.array(p[ok, 0]), pa.array(p[ok, 1]), pa.array(j[ok])], ["doc_a", "doc_b", "jaccard"])
 
     return both.repartition("home").mapInArrow(run, PAIRS)
 
 
-def folded(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+def folded(docs: DataFrame, n: int, threshold: float, linked: bool = False) -> tuple[DataFrame, DataFrame]:
     """Similar pairs of distinct sets, by the smallest doc_id of each, and the doc_ids of every repeated set (rep, doc_id); both written."""
     blocks = parallelism(docs.sparkSession)
     alive = survivors(shared_grams(incidence(docs, n, blocks), blocks), blocks, threshold)
@@ -357,7 +380,7 @@ def folded(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFr
     members = written(alive.select("doc_id", "set_key", "n").join(copies, ["set_key", "n"]).select("rep", "doc_id"), "copies")
     sets = alive.join(members.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti").select("doc_id", "n", "grams")
     pairs = written(candidates(prefix_product(sets, blocks, threshold), threshold), "candidates")
-    return written(verify(pairs, sets, threshold), "pairs"), members
+    return written(verify(pairs, sets, threshold, linked), "pairs"), members
 
 
 def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -392,7 +415,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, root) for every document that has a partner: groups joined by pairs, root the smallest doc_id."""
-    near, members = folded(docs, n, threshold)
+    near, members = folded(docs, n, threshold, linked=True)
     edges = near.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).union(members.where("doc_id <> rep").select("rep", "doc_id"))
     return components(edges)
 
