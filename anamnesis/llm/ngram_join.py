@@ -379,7 +379,7 @@ def folded(docs: DataFrame, n: int, threshold: float, linked: bool = False) -> t
     copies = alive.where("set_key IS NOT NULL").groupBy("set_key", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     members = written(alive.select("doc_id", "set_key", "n").join(copies, ["set_key", "n"]).select("rep", "doc_id"), "copies")
     sets = alive.join(members.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti").select("doc_id", "n", "grams")
-    pairs = written(candidates(prefix_product(sets, blocks, threshold), threshold), "candidates")
+    pairs = written(candidates(prefix_product(sets, max(8, blocks // 4), threshold), threshold), "candidates")  # a fraction of the columns: fewer, equally full blocks repeat fewer pairs
     return written(verify(pairs, sets, threshold, linked), "pairs"), members
 
 
