@@ -1,6 +1,6 @@
 """BPE encoding and decoding with a minimal acyclic transducer lexicon.
 
-The pre-tokens of the corpus are counted; the ``LEXICON`` most frequent are
+The pre-tokens of the corpus are counted; the most frequent, ``LEXICON`` at most, are
 compiled, with the ids of their merges as outputs, into a minimal acyclic
 automaton whose equal suffixes share states, stored as one array file that the
 workers memory-map.  A slice's distinct pre-tokens walk it all at once; those
@@ -10,8 +10,8 @@ The vocabulary is a file of byte sequences in rank order; its path is a
 parameter.  The map over documents is narrow; counting shuffles distinct words.
 
 Defined cases: a null or empty text has no ids and decodes to ''; texts of any
-length are encoded whole; repeated rows give a row each; a tie in frequency goes
-to the lower byte string; empty tables give no rows; other columns are not read.
+length are encoded whole; repeated rows give a row each; words
+of a level of frequency are in the lexicon all or none; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import arrays as A
-from .frames import shared_dir, texts
+from .frames import shared_dir, texts, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LEXICON = 1 << 17
@@ -391,7 +391,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, ranks: dict[bytes, int], size: int = LEXICON, longest: int = 64) -> Lexicon:
-    frequent = word_counts(docs).where((F.length("word") <= longest) & (F.col("n") > 1)).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    counts = written(word_counts(docs).where((F.length("word") <= longest) & (F.col("n") > 1)), "words")
+    level = F.floor(F.log2("n") * 8)
+    room, least = size, 1 << 62  # the lowest level of frequency down to which all words fit: a few hundred rows decide, not a sort
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r.level
+    frequent = counts.where(level >= least).select("word").collect()
     words = sorted(bytes(r.word) for r in frequent)
     return Lexicon.compile(words, [merge(w, ranks) for w in words])
 
