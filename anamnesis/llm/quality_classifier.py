@@ -77,7 +77,8 @@ class Model:
         bags = []
         for k in range(len(docs)):
             parts = features(*A.string_buffer(col[k : k + 1]), len(self.vectors))
-            bags.append(np.unique(np.concatenate([f for f, _ in parts]), return_counts=True))
+            idx, n = np.unique(np.concatenate([f for f, _ in parts]), return_counts=True)
+            bags.append((idx.astype(np.int32), n.astype(np.float32)))
         rng = np.random.default_rng(seed)
         step, total = 0, epochs * len(docs)
         for _ in range(epochs):
