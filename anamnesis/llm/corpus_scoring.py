@@ -1,0 +1,253 @@
+"""Unbounded n-gram scores of every document of the corpus, in work linear in its words.
+
+Every word is scored by the smoothing of ``lm_scoring`` from the counts of all
+*other* occurrences in the corpus: its own is left out of each count, since else
+every context of a document would match the document itself.
+
+    p_k = (count(context_k word) - 1 + MASS p_(k-1)) / (count(context_k) - 1 + MASS)
+
+with p_(-1) = 1 / N, as long as the context occurs elsewhere (count 2 or more),
+whatever its length.  Each place of a document goes to one shard, that of the
+word before it, which thereby holds all places with the same contexts.  A shard
+splits its places by one more word of context at a time; where all places of a
+group agree on the next m words the counts stay as they are and m steps are
+taken at once, so that long copies cost steps by the logarithm of their length.
+
+Words beyond the first are read from prefix hashes in files of the shared
+folder (a POSIX path that all executors see), 8 bytes a word; a place takes 8
+bytes of shuffle.  Unigram counts lie sorted in files there too, so nothing that
+grows goes to the driver or is broadcast.
+
+Defined cases: a row per row of docs; null or wordless texts have n_words 0,
+logprob 0 and a null perplexity; a context that ends a document counts; the
+shard of a frequent word has all places after it.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
+
+from . import arrays as A
+from .frames import parallelism, shared_dir, texts
+from .lm_scoring import MASS
+
+SHARD = 1 << 20
+SLICE = 1 << 22
+END = np.uint32(1 << 31)  # on a place within its document: the end, where no word follows
+SCHEMA = "doc_id long, n_words int, logprob double, perplexity double, mean_context double"
+
+
+def _folder(df: DataFrame) -> str:
+    path = f"{shared_dir(df.sparkSession).removeprefix('file:')}/lm-{uuid.uuid4().hex}"
+    path = "/" + path.lstrip("/")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    for batch, buf, offs in A.slices(batches, "text", SLICE):
+        starts, stops, bounds = A.words(buf, offs)
+        yield batch, A.word_hashes(buf, starts, stops), bounds
+
+
+def _vocabulary(docs: DataFrame, folder: str) -> tuple[dict[int, str], int]:
+    """Files of (hash, count), sorted, by the upper eight bits of the hash, and the number of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, h, _ in _hashed(batches):
+            code, own = pd.factorize(h)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.bincount(code, minlength=len(own)))], ["h", "n"])
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        h, n = rows.column("h").to_numpy().view(A.U), rows.column("n").to_numpy()
+        order = np.argsort(h)
+        path = f"{folder}/words-{uuid.uuid4().hex}.npy"
+        np.save(path, np.stack((h[order], n[order].astype(A.U))))
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "path": [path], "n": [int(n.sum())]})
+
+    counted = texts(docs).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = counted.withColumn("bucket", F.shiftrightunsigned("h", 56).cast("int")).groupBy("bucket").applyInArrow(write, "bucket int, path string, n long").collect()  # 256 at most
+    return {r.bucket: r.path for r in rows}, sum(r.n for r in rows)
+
+
+def _unigrams(h: np.ndarray, files: dict[int, str]) -> np.ndarray:
+    code, own = pd.factorize(h)
+    n = np.zeros(len(own), np.int64)
+    bucket = (own >> A.U(56)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        if len(part):
+            known = np.load(files[int(bucket[part[0]])], mmap_mode="r")
+            n[part] = known[1][np.searchsorted(known[0], own[part])]
+    return n[code]
+
+
+class _Places:
+    """Prefix hashes at places of many files; places come in the order of their files."""
+
+    def __init__(self, paths: list[str]):
+        self.maps = [np.load(p, mmap_mode="r") for p in paths]
+
+    def at(self, file: np.ndarray, place: np.ndarray) -> np.ndarray:
+        out = np.empty(len(place), A.U)
+        cut = np.searchsorted(file, np.arange(len(self.maps) + 1))
+        for k in np.flatnonzero(np.diff(cut)):
+            out[cut[k] : cut[k + 1]] = self.maps[k][place[cut[k] : cut[k + 1]]]
+        return out
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each element's group, and the group's size for each."""
+    x = np.zeros(len(keys[0]), A.U)
+    for k in keys:
+        x = A.mix(x * A.U(A.BASE) + k.astype(A.U) + A.U(1))
+    code, own = pd.factorize(x)
+    return code, np.bincount(code, minlength=len(own))[code]
+
+
+def score(places: _Places, file: np.ndarray, off: np.ndarray, rel: np.ndarray, files: dict[int, str], total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places that have a word (as indexes), their log probabilities and the lengths of their longest contexts."""
+    end = (rel & END) > 0
+    rel = (rel & ~END).astype(np.int64)
+    off = off.astype(np.int64)
+    power, inverse = A.powers(int(rel.max()) + 2)
+    here = places.at(file, off)
+    word = np.zeros(len(off), A.U)
+    real = np.flatnonzero(~end)
+    word[real] = (places.at(file[real], off[real] + 1) - here[real]) * inverse[rel[real]]
+    p = np.ones(len(off))
+    # the prefix hash adds 1 to a word's hash
+    p[real] = (_unigrams(word[real] - A.U(1), files) - 1 + MASS / total) / (total - 1 + MASS)
+    depth = np.zeros(len(off), np.int64)
+    live = np.flatnonzero(rel > 0)
+    group = np.zeros(len(live), np.int64)
+    both = _groups(word[live], np.where(end[live], live + 1, 0))[0]
+    size = np.full(len(live), 0)
+    same = np.full(len(live), 0)
+    step = np.ones(len(live), np.int64)
+    while len(live):
+        to = depth[live] + step
+        fits = rel[live] >= to
+        begin = np.where(fits, off[live] - to, off[live])
+        more = (places.at(file[live], off[live] - depth[live]) - places.at(file[live], begin)) * inverse[np.where(fits, rel[live] - to, 0)]
+        # several steps: only of groups whose places all agree
+        many = step > 1
+        if many.any():
+            n = int(group.max()) + 1
+            first = np.zeros(n, A.U)
+            first[group] = more
+            bad = np.zeros(n, bool)
+            bad[group[(more != first[group]) | ~fits]] = True
+            good = many & ~bad[group]
+            i = np.flatnonzero(good)
+            c, b = size[i] - 1, same[i] - 1
+            q = b / c
+            p[live[i]] = q + (p[live[i]] - q) * (MASS / (c + MASS)) ** step[i]
+            depth[live[i]] += step[i]
+            fail = many & ~good
+            step = np.where(good, step * 2, np.where(fail, np.maximum(1, step // 2), step))
+        one = np.flatnonzero(~many & fits)
+        g, c = _groups(group[one], more[one])
+        b, s = _groups(both[one], more[one])
+        keep = c > 1
+        one, g, c, b, s = one[keep], g[keep], c[keep], b[keep], s[keep]
+        at = live[one]
+        p[at] = (s - 1 + MASS * p[at]) / (c - 1 + MASS)
+        depth[at] += 1
+        stays = many.copy()
+        stays[one] = True
+        top, top2 = int(group.max()) + 1, int(both.max()) + 1
+        step[one] = np.where(c == size[one], 2, 1)
+        group[one], both[one], size[one], same[one] = g + top, b + top2, c, s
+        live, group, both, size, same, step = (x[stays] for x in (live, group, both, size, same, step))
+        if len(live):
+            group, both = pd.factorize(group)[0], pd.factorize(both)[0]
+    return real, np.log(p[real]), depth[real]
+
+
+BLOBS = "shard int, file int, path string, data binary"
+RESULT = np.dtype([("start", "<u4"), ("longest", "<u4"), ("logprob", "<f8")])
+
+
+def corpus_scores(docs: DataFrame, shard: int = SHARD) -> DataFrame:
+    """One row per document: doc_id, n_words, logprob, perplexity, mean_context (words of the longest contexts that occur elsewhere)."""
+    folder = _folder(docs)
+    files, total = _vocabulary(docs, folder)
+    shards = max(parallelism(docs.sparkSession), -(-total // shard))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId()
+        for part, (batch, h, bounds) in enumerate(_hashed(batches)):
+            path = f"{folder}/{number}-{part}-{uuid.uuid4().hex}.npy"
+            length = np.diff(bounds)
+            rel = np.arange(len(h)) - np.repeat(bounds[:-1], length)
+            # one entry more per document, its end
+            power = A.powers(int(length.max(initial=0)) + 2)[0]
+            np.save(path, np.concatenate((np.zeros(1, A.U), np.cumsum((h + A.U(1)) * power[rel], dtype=A.U))))
+            has = np.flatnonzero(length)
+            off = np.concatenate((np.arange(len(h)), bounds[1:][has])).astype(np.uint32)
+            rels = np.concatenate((rel, length[has])).astype(np.uint32)
+            before = np.where(rels > 0, h[np.maximum(off.astype(np.int64) - 1, 0)], off.astype(A.U)) if len(h) else np.zeros(0, A.U)
+            rels[len(h) :] |= END
+            to = (A.mix(before) % A.U(shards)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[order], np.arange(shards + 1))
+            rows = [(-1, np.concatenate((bounds, [0])).astype("<i8").tobytes() + pa.array(batch.column(0)).fill_null(0).to_numpy().astype("<i8").tobytes() + pa.array(batch.column(0)).is_null().to_numpy(zero_copy_only=False).astype("<i8").tobytes())]
+            for k in np.flatnonzero(np.diff(cut)):
+                i = order[cut[k] : cut[k + 1]]
+                rows.append((int(k), off[i].tobytes() + rels[i].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int32()), pa.array([path] * len(rows)), pa.array([r[1] for r in rows], pa.binary())], ["shard", "file", "path", "data"])
+
+    def count(key: tuple, rows: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return rows.select(["path", "shard", "data"])
+        rows = rows.sort_by("path")
+        paths = rows.column("path").to_pylist()
+        data = [np.frombuffer(x.as_py(), np.uint32).reshape(2, -1) for x in rows.column("data")]
+        file = np.repeat(np.arange(len(data)), [d.shape[1] for d in data])
+        off, rel = np.concatenate([d[0] for d in data]), np.concatenate([d[1] for d in data])
+        real, logs, longest = score(_Places(paths), file, off, rel, files, total)
+        start = off[real] - rel[real]
+        f = file[real]
+        out = []
+        cut = np.searchsorted(f, np.arange(len(paths) + 1))
+        for k in range(len(paths)):
+            s = slice(cut[k], cut[k + 1])
+            own, code = np.unique(start[s], return_inverse=True)
+            r = np.zeros(len(own), RESULT)
+            r["start"], r["longest"], r["logprob"] = own, np.bincount(code, longest[s], len(own)), np.bincount(code, logs[s], len(own))
+            out.append(r.tobytes())
+        return pa.table({"path": paths, "shard": pa.array([0] * len(paths), pa.int32()), "data": pa.array(out, pa.binary())})
+
+    def gather(key: tuple, rows: pa.Table) -> pa.Table:
+        kinds, data = rows.column("shard").to_pylist(), rows.column("data")
+        head = np.frombuffer(next(data[k].as_py() for k, x in enumerate(kinds) if x < 0), "<i8")
+        n = (len(head) - 2) // 3
+        bounds, ids, null = head[: n + 1], head[n + 2 : 2 * n + 2], head[2 * n + 2 :] > 0
+        ll, longest = np.zeros(n), np.zeros(n)
+        for k, x in enumerate(kinds):
+            if x >= 0:
+                r = np.frombuffer(data[k].as_py(), RESULT)
+                at = np.searchsorted(bounds, r["start"], "right") - 1  # empty documents start where the next one does
+                ll[at] += r["logprob"]
+                longest[at] += r["longest"]
+        size = np.diff(bounds)
+        some = size > 0
+        d = np.maximum(size, 1)
+        return pa.table({
+            "doc_id": pa.array(ids, pa.int64(), mask=null), "n_words": pa.array(size.astype(np.int32)), "logprob": pa.array(ll),
+            "perplexity": pa.array(np.exp(-ll / d), mask=~some), "mean_context": pa.array(longest / d, mask=~some),
+        })
+
+    placed = texts(docs).mapInArrow(spread, BLOBS)
+    # heads go through one group per file, not one for all
+    keyed = placed.groupBy("shard", F.when(F.col("shard") < 0, F.col("path")).alias("head")).applyInArrow(count, "path string, shard int, data binary")
+    return keyed.groupBy("path").applyInArrow(gather, SCHEMA)

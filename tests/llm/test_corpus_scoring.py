@@ -1,0 +1,55 @@
+import math
+import random
+
+from anamnesis.llm import corpus_scoring, lm_scoring
+from anamnesis.llm.queries import queries
+
+from ..compare import SF
+
+
+def brute(docs):
+    texts = [d.split() for d in docs]
+    counts = {}
+    for w in texts:
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                counts[tuple(w[i:j])] = counts.get(tuple(w[i:j]), 0) + 1
+    total = sum(map(len, texts))
+    out = []
+    for w in texts:
+        ll = longest = 0
+        for i in range(len(w)):
+            p, top = 1 / total, 0
+            for k in range(i + 1):
+                context = total if k == 0 else counts[tuple(w[i - k : i])]
+                if k and context < 2:
+                    break
+                top = k
+                p = (counts[tuple(w[i - k : i + 1])] - 1 + lm_scoring.MASS * p) / (context - 1 + lm_scoring.MASS)
+            ll += math.log(p)
+            longest += top
+        out.append((ll, longest))
+    return out
+
+
+def test_every_document_scored_as_by_brute_force(spark):
+    rnd = random.Random(4)
+    docs = [" ".join(rnd.choice("abcde") for _ in range(rnd.randint(0, 30))) for _ in range(60)]
+    long = [rnd.choice(["p", "q", "r", "s1"]) for _ in range(150)]
+    docs += [" ".join(long), " ".join(long), " ".join(long[:70] + ["x"] + long[71:]), " ".join(long[20:90]), "", "alone", " ".join(["a"] * 40)]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in corpus_scoring.corpus_scores(df, shard=97).collect()}
+    assert len(got) == len(docs)
+    for i, (ll, longest) in enumerate(brute(docs)):
+        n = len(docs[i].split())
+        assert got[i].n_words == n and abs(got[i].logprob - ll) < 1e-8
+        assert (got[i].perplexity is None) == (n == 0)
+        assert n == 0 or abs(got[i].mean_context - longest / n) < 1e-9
+
+
+def test_rows_of_the_corpus_are_the_rows_of_the_result(spark):
+    odd = spark.createDataFrame([(None, "a b"), (1, None), (1, "a b"), (2, "!")], "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.n_words) for r in corpus_scoring.corpus_scores(odd).collect()) == [(False, 0), (False, 0), (False, 2), (True, 2)]
+    assert corpus_scoring.corpus_scores(odd.limit(0)).count() == 0
+    got = queries()["op7_lm_scoring"](spark, SF)
+    assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
