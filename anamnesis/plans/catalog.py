@@ -69,6 +69,12 @@ def _(s, d):
     return arms.dense_many(memories(s, d), queries, 5)
 
 
+@query("dense_multi_query_all")
+def _(s, d):
+    queries = table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return arms.dense_many(memories(s, d), queries, 5)
+
+
 # --- predicates ------------------------------------------------------------
 
 
@@ -198,6 +204,10 @@ def _(s, d):
 
 # --- statistics ------------------------------------------------------------
 
+def shared_entities(m: DataFrame) -> DataFrame:
+    return m.select("id", F.size(F.array_intersect("entity_ids", F.array(*(F.lit(x).cast("long") for x in (0, 1, 100, 103, 200))))).cast("long").alias("n"))
+
+
 for _name, _f, _sql in (
     ("type_stats", stats.type_stats, "SELECT memory_type, count(*) AS doc_count FROM m GROUP BY 1"),
     ("entity_stats", stats.entity_stats, "SELECT entity, count(*) AS n FROM (SELECT unnest(entity_ids) AS entity FROM m) GROUP BY 1"),
@@ -217,11 +227,16 @@ for _name, _f, _sql in (
     ("updated_since", lambda m: stats.any_since(m, BASE + 600_000), f"SELECT count(*) > 0 AS found FROM m WHERE updated_at > {BASE + 600_000}"),
     ("unconsolidated_queue", lambda m: curation.unconsolidated(m, 50, ["en"]).select("id"), "SELECT id FROM m WHERE consolidated = '0' AND updated_at IS NOT NULL AND (len(tags) = 0 OR list_has_all(tags, ['en'])) ORDER BY updated_at, id LIMIT 50"),
     ("failed_consolidation", lambda m: curation.failed(m).select("id"), "SELECT id FROM m WHERE consolidated = '2'"),
-    ("shared_entities", lambda m: m.where("id % 5 = 0").select("id", F.size(F.array_intersect("entity_ids", F.array(*(F.lit(x).cast("long") for x in (0, 1, 100, 103, 200))))).cast("long").alias("n")), "SELECT id, len(list_intersect(entity_ids, [0, 1, 100, 103, 200]))::BIGINT AS n FROM m WHERE id % 5 = 0"),
+    ("shared_entities", lambda m: shared_entities(m.where("id % 5 = 0")), "SELECT id, len(list_intersect(entity_ids, [0, 1, 100, 103, 200]))::BIGINT AS n FROM m WHERE id % 5 = 0"),
 ):
     query(_name, _m(_sql))(lambda s, d, f=_f: f(memories(s, d)))
 
 
+@query("shared_entities_all")
+def _(s, d):
+    return shared_entities(memories(s, d))
+
+
 @query("orphan_entities", "SELECT c_custkey AS entity, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
 def _(s, d):
     registry = table(s, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_name").alias("name"))
@@ -333,6 +348,12 @@ def _(s, d):
     return links.direct_links(links.semantic_edges(links.derive_links(m, LINK)), m.where("id < 200")).select("src", "dst", "weight")
 
 
+@query("direct_links_all")
+def _(s, d):
+    m = memories(s, d)
+    return links.direct_links(links.semantic_edges(links.derive_links(m, LINK)), m).select("src", "dst", "weight")
+
+
 @query("entity_expand", _m(KNN + SEEDS) + "SELECT * FROM ent")
 def _(s, d):
     m = memories(s, d)
@@ -464,10 +485,10 @@ qrels AS (SELECT a.vec_id AS qid, b.vec_id AS doc, 1 + (b.vec_id % 2) AS rel FRO
 """
 
 
-def run_and_qrels(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """25 queries (the request) against all vectors; rows of the same label are relevant."""
+def run_and_qrels(s: SparkSession, d: str, which: str = "vec_id < 25") -> tuple[DataFrame, DataFrame]:
+    """The queries (25, as in the SQL, or others) against all vectors; rows of the same label are relevant."""
     e = table(s, d, "embeddings")
-    a = e.where("vec_id < 25").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("ql"))
+    a = e.where(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("ql"))
     pairs = a.crossJoin(e).where("query_id <> vec_id")
     score = F.round(arms.cosine(F.col("embedding"), F.col("query")), 6)
     run = arms.top(pairs.select("query_id", F.col("vec_id").alias("id"), score.alias("score")), 20, ("query_id",))
@@ -491,6 +512,21 @@ def _(s, d):
     return evaluate.mrr(*run_and_qrels(s, d), 10)
 
 
+@query("ndcg_all")
+def _(s, d):
+    return evaluate.ndcg(*run_and_qrels(s, d, "true"), 10)
+
+
+@query("recall_at_k_all")
+def _(s, d):
+    return evaluate.recall(*run_and_qrels(s, d, "true"), 20)
+
+
+@query("mrr_all")
+def _(s, d):
+    return evaluate.mrr(*run_and_qrels(s, d, "true"), 10)
+
+
 @query("latency_stats", "SELECT round(avg(value), 6) AS mean, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.99) AS p99, max(value) AS max FROM events")
 def _(s, d):
     return evaluate.latency(table(s, d, "events"), "value").withColumn("mean", F.round("mean", 6))

@@ -1,0 +1,22 @@
+"""The queries over all rows against brute force: DuckDB over every pair of the smallest tables, without the SQL's id filters."""
+
+import pytest
+
+from anamnesis.plans import catalog
+
+from .compare import same
+
+FILTERS = {
+    "dense_multi_query": ["vec_id < 20 AND "], "ndcg": ["a.vec_id < 25 AND "], "recall_at_k": ["a.vec_id < 25 AND "], "mrr": ["a.vec_id < 25 AND "],
+    "direct_links": [" AND src < 200 AND dst < 200"], "shared_entities": [" WHERE id % 5 = 0"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(FILTERS))
+def test_every_row_takes_part(spark, name):
+    sql = catalog.SQL[name]
+    for part in FILTERS[name]:
+        assert part in sql
+        sql = sql.replace(part, "")
+    same(catalog.QUERIES[f"{name}_all"], sql, spark)
+    assert f"{name}_all" not in catalog.SQL
