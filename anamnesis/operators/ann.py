@@ -1,7 +1,9 @@
 """Clustered vector search: a speed structure with a recall contract.
 
 Centroids come from a bounded training sample; rows are assigned in one narrow
-map; a query reads only its nearest clusters.  Probing all clusters is exact.
+map; a query reads only the clusters that can hold one of its first k rows, by
+a bound on the scores, or a given number of nearest ones.  The bound makes no
+miss; vectors without clusters make it read them all.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .arms import dense
+from ..functions.vector import cosine
+from .arms import dense, top
 
 TRAIN_ROWS = 50_000
 
@@ -73,14 +76,76 @@ def assign(memories: DataFrame, centroids: np.ndarray) -> DataFrame:
     return memories.mapInArrow(run, schema)
 
 
-def probes(clusters: int, nprobe: int = 0) -> int:
-    """0: half of the clusters, from 8 to 64."""
-    return min(clusters, nprobe or min(64, max(8, math.ceil(clusters / 2))))
+FIRST = 4  # cells of each query and type that are read to find a lower limit of the scores
+SLACK = 2e-6  # scores are rounded to six digits
+
+
+def cells(assigned: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """(memory_type, cluster_id, radius): the greatest distance of a row, scaled to length 1, from its centroid."""
+    shared = assigned.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(1).to_numpy()
+            x = np.array(b.column(2).to_pylist(), np.float64).reshape(len(own), -1)
+            if len(own):
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.sqrt(((unit(x) - shared.value[own]) ** 2).sum(1)))], ["memory_type", "cluster_id", "radius"])
+
+    rows = assigned.where("cluster_id IS NOT NULL").select(F.col("memory_type").cast("int"), "cluster_id", "vector")
+    return rows.mapInArrow(run, "memory_type int, cluster_id int, radius double").groupBy("memory_type", "cluster_id").agg(F.max("radius").alias("radius"))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x**2).sum(1, keepdims=True))
+    return x / np.where(n > 0, n, 1)
+
+
+def search_many(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """Top k of every query (query_id, query) by type, exact; rows without vector are none of them.
+
+    A row u of a cluster with centroid c and a query q, both of length 1, have q u = q c + q (u - c) <= q c + radius:
+    cells (a type's rows in a cluster) whose bound is below the k-th score of a few cells read first can't hold a better row.
+    """
+    spark = assigned.sparkSession
+    known = cells(assigned, centroids).collect()  # types times the root of the rows
+    shared = spark.sparkContext.broadcast((centroids, np.array([(r.memory_type, r.cluster_id) for r in known], np.int64).reshape(-1, 2), np.array([r.radius for r in known])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, cell, radius = shared.value
+        for b in batches:
+            if not b.num_rows or not len(cell):
+                continue
+            bound = unit(np.array(b.column(1).to_pylist(), np.float64)) @ centres[cell[:, 1]].T + radius
+            n = len(bound)
+            place = np.empty(bound.shape, np.int64)  # of a cell among its type's, the highest bound first
+            for t in np.unique(cell[:, 0]):
+                own = np.flatnonzero(cell[:, 0] == t)
+                place[:, own] = np.argsort(np.argsort(-bound[:, own], 1, kind="stable"), 1)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(np.repeat(np.arange(n), len(cell)))), pa.array(np.tile(cell[:, 0], n).astype(np.int32)), pa.array(np.tile(cell[:, 1], n).astype(np.int32)), pa.array(bound.ravel()), pa.array(place.ravel().astype(np.int32))],
+                ["query_id", "memory_type", "cluster_id", "bound", "place"],
+            )
+
+    asked = queries.select(F.col("query_id").cast("long"), "query")
+    every = asked.mapInArrow(run, "query_id long, memory_type int, cluster_id int, bound double, place int")
+    rows = assigned.where("cluster_id IS NOT NULL").select("id", F.col("memory_type").cast("int"), "cluster_id", "vector")
+
+    def scored(part: DataFrame) -> DataFrame:
+        score = cosine(F.col("vector"), F.col("query"))
+        read = part.join(rows, ["memory_type", "cluster_id"]).join(asked, "query_id")
+        return top(read.select("query_id", "id", "memory_type", (F.round(score, digits) if digits else score).alias("score")), k, ("query_id", "memory_type"))
+
+    floor = scored(every.where(F.col("place") < FIRST)).where(F.col("rank") == k - 1).select("query_id", "memory_type", F.col("score").alias("floor"))
+    open_ = every.join(floor, ["query_id", "memory_type"], "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - SLACK))
+    return scored(open_.select("query_id", "memory_type", "cluster_id"))
 
 
 def search(assigned: DataFrame, centroids: np.ndarray, vector: list[float], k: int, nprobe: int = 0) -> DataFrame:
-    """Exact scores of the rows in the nearest clusters; a table partitioned by cluster_id reads only those."""
-    order = np.argsort(((centroids - np.array(vector)) ** 2).sum(1), kind="stable")[: probes(len(centroids), nprobe)]
+    """Top k by type: of nprobe nearest clusters, or (0) of all that the bound leaves; a table partitioned by cluster_id reads only those."""
+    if not nprobe:
+        one = assigned.sparkSession.createDataFrame([(0, [float(x) for x in vector])], "query_id long, query array<double>")
+        return search_many(assigned, centroids, one, k).drop("query_id")
+    order = np.argsort(((centroids - np.array(vector)) ** 2).sum(1), kind="stable")[:nprobe]
     return dense(assigned, vector, k, F.col("cluster_id").isin(*map(int, order)))
 
 

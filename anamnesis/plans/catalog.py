@@ -536,10 +536,11 @@ def _(s, d):
 def _(s, d):
     m = memories(s, d).where("vector IS NOT NULL").select("id", "memory_type", "vector", "tags", "updated_at")
     c = ann.train(m)
-    q = query_vector(s, d)
-    names = (F.lit(0).alias("qid"), F.concat_ws("-", "memory_type", "id").alias("doc"), "rank")
-    exact = arms.dense(m, q, 10).select(*names)
-    parts = [ann.search(ann.assign(m, c), c, q, 10, n).select(*names) for n in (0, len(c))]
+    queries = table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # every row is a query
+    names = (F.col("query_id").alias("qid"), F.concat_ws("-", "memory_type", "id").alias("doc"), "rank")
+    rows = ann.assign(m, c)
+    exact = arms.dense_many(m, queries, 10).select(*names)
+    parts = [ann.search_many(rows, c, queries, 10).select(*names), arms.dense_many(rows.where("cluster_id IS NOT NULL"), queries, 10).select(*names)]
     return evaluate.ann_recall(exact, parts[0], 10).withColumn("nprobe", F.lit("auto")).union(evaluate.ann_recall(exact, parts[1], 10).withColumn("nprobe", F.lit("all")))
 
 
