@@ -1,7 +1,8 @@
 """PII by bootstrapped contextual extraction.
 
-Candidates are the white-space tokens that hold a digit, ``@`` or a key's prefix
-(neighbours joined where a seed spans them), over whole texts.  Seed entities, found
+Candidates are the white-space tokens that hold a digit, ``@`` or a key's prefix,
+or follow a cue (a word and ``=``, ``:`` or ``#``), neighbours joined where a
+seed spans them, over whole texts.  Seed entities, found
 by strict expressions, induce lexical patterns: the *shape* of the identifier
 (class and length of its runs of letters and digits) and its *cue* (the word
 and sign before it, such as ``password=``).  Patterns and distinct instances
@@ -46,10 +47,10 @@ SEEDS = {
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "card": r"(?<!\w)\d{4}(?:[ -]?\d{4}){3}(?!\w)",
     "key": r"(?<!\w)(?:(?:AKIA|ASIA)[0-9A-Z]{12,}|(?:ghp|gho|sk|pk|xox[bp])[_-]\w{16,})",
-    "secret": r"(?<!\w)(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?(?=[^\s\"']*\d)[\w+/.-]{8,}=*[\"']?",
+    "secret": r"(?<!\w)(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?[\w+/.-]{8,}=*[\"']?",
 }
 _SEED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SEEDS.items()), re.I)
-_MARK = re.compile(r"[\d@]|A[KS]IA")
+_MARK = re.compile(r"[\d@]|(?i:A[KS]IA|(?<!\w)(?:gh[po]|sk|pk|xox[bp])[_-])|(?P<cue>[^\W\d_]\s?[=:#]\s?[\"']?)(?=[^\s\"'])")
 _ALNUM = re.compile(r"[^\W_]+")
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 _CUE = re.compile(r"([^\W\d_]+)\s?([=:#])\s?[\"']?$")
@@ -71,8 +72,9 @@ def scan(text: str) -> list[tuple[int, int, str, str | None, str | None, str]]:
     tokens = []  # spans of the tokens with a mark
     end = 0
     for m in _MARK.finditer(text):
-        if m.start() >= end:
-            start, end = _back(text, m.start()), _forth(text, m.start())
+        at = m.end() if m.lastgroup else m.start()  # after a cue, its value
+        if at >= end:
+            start, end = _back(text, at), _forth(text, at)
             tokens.append((start, end))
     seeds = []
     window: list[int] = []
@@ -99,11 +101,12 @@ def scan(text: str) -> list[tuple[int, int, str, str | None, str | None, str]]:
         m = _CORE.search(text, s, e)
         if m:
             value = m.group()
-            cut = re.search(r"[=:][\"']?", value)  # a cue within the token
+            cut = re.search(r"[=:#][\"']?", value)  # a cue within the token
             begin = m.start() + cut.end() if cut and cut.end() < len(value) else m.start()
             value = text[begin : m.end()]
-            if _MARK.search(value):
-                out.append((begin, m.end(), value, None, _cue(text, begin), shape(value)))
+            cue = _cue(text, begin)
+            if cue or _MARK.search(value):
+                out.append((begin, m.end(), value, None, cue, shape(value)))
     return sorted(out)
 
 
@@ -131,11 +134,13 @@ FOUND = "doc_id long, start int, end int, value string, seed string, cue string,
 
 
 def _marked(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Rows that hold a mark; the others hold no candidate."""
-    mark = ((buf >= 48) & (buf <= 57)) | (buf == 64)
-    i = np.flatnonzero(buf[:-2] == 73) if len(buf) > 2 else np.zeros(0, np.int64)
-    i = i[(i > 1) & (buf[i + 1] == 65)]
-    mark[i[((buf[i - 1] == 75) | (buf[i - 1] == 83)) & (buf[i - 2] == 65)]] = True
+    """Rows that may hold a mark; the others hold no candidate."""
+    mark = ((buf >= 48) & (buf <= 57)) | np.isin(buf, np.frombuffer(b"@=:#", np.uint8))
+    i = np.flatnonzero((buf[2:] == 95) | (buf[2:] == 45)) + 2  # the signs after a key's prefix
+    pair = (buf[i - 2] | 32).astype(np.int32) << 8 | buf[i - 1] | 32
+    mark[i[np.isin(pair, [a << 8 | b for a, b in (b"hp", b"ho", b"sk", b"pk", b"xb", b"xp")])]] = True
+    i = np.flatnonzero((buf[2:] | 32) == 97) + 2  # ..ia, of AKIA and ASIA
+    mark[i[(buf[i - 1] | 32 == 105) & np.isin(buf[i - 2] | 32, [107, 115])]] = True
     mark |= buf >= 0xD9  # digits of other scripts
     hit = np.flatnonzero(mark)
     return np.unique(np.searchsorted(offs, hit, "right") - 1)
