@@ -24,6 +24,7 @@ the alphabet; empty tables give no rows; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -63,7 +64,8 @@ def shape(value: str) -> str:
         t = m.group()
         return f"{'d' if t.isdigit() else 'a' if not any(c.isdigit() for c in t) else 'x'}{len(t)}"
 
-    return _ALNUM.sub(run, value)[:64]
+    full = _ALNUM.sub(run, value)
+    return full if len(full) <= 64 else f"{full[:47]}~{hashlib.blake2b(full.encode(), digest_size=8).hexdigest()}"
 
 
 def scan(text: str) -> list[tuple[int, int, str, str | None, str | None, str]]:
@@ -207,6 +209,7 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redact(docs: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
     """The documents with every identifier replaced by <KIND>; n_chars, if there, is the new length."""
+    columns = docs.columns
     found = written(occurrences(docs), "pii-candidates")
     patterns = learn(found)
     if patterns.count() <= limit:
@@ -231,13 +234,16 @@ def redact(docs: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
 
         out = docs.mapInArrow(run, docs.schema)
     else:
-        spans = decided(found, patterns).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("__spans")).withColumnRenamed("doc_id", "__id")
+        # a key per row, since rows may share a doc_id; equal rows have equal spans
+        docs = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+        rows = occurrences(docs.select(F.col("__key").alias("doc_id"), "text"))
+        spans = decided(rows, patterns).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("__spans")).withColumnRenamed("doc_id", "__id")
 
         @F.pandas_udf("string")
         def cover(text, where):  # type: ignore[no-untyped-def]
             return text.combine(where, lambda t, w: t if t is None or w is None else masked(t, [(x["start"], x["end"], x["kind"]) for x in w]))
 
-        out = docs.join(spans, docs["doc_id"].eqNullSafe(spans["__id"]), "left").withColumn("text", cover("text", "__spans")).select(*docs.columns)
-    if "n_chars" in docs.columns:
+        out = docs.join(spans, docs["__key"] == spans["__id"], "left").withColumn("text", cover("text", "__spans")).drop("__key", "__id", "__spans").select(*columns)
+    if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
