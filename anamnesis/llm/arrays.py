@@ -57,15 +57,15 @@ def string_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nd
     return buf, offs - offs[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows in groups of about limit bytes of text (one row at least), which bounds the memory of the kernels."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20, rows: int = 1 << 31) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows in groups of about limit bytes of text (one row at least) and so many rows at most, which bounds the memory of the kernels."""
     for batch in batches:
         if not batch.num_rows:
             continue
         buf, offs = string_buffer(batch.column(batch.schema.get_field_index(column)))
         i, n = 0, batch.num_rows
         while i < n:
-            j = min(n, max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1))
+            j = min(n, i + rows, max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1))
             yield batch.slice(i, j - i), buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             i = j
 

@@ -1,29 +1,37 @@
 """N-gram Jaccard join: a blocked sparse matrix product of documents by n-grams.
 
-All pairs of documents whose sets of word n-grams have a Jaccard similarity of
-at least ``threshold``, exactly.  The incidence matrix is cut into column
-blocks (by n-gram hash); rows of a block travel as packed arrays, 5 bytes an
-entry, so no JVM row is made per n-gram.
+Finds every pair of documents whose sets of word n-grams have a Jaccard
+similarity of at least ``threshold`` and returns one row per document: its class
+(the smallest doc_id that links lead to) and its number of links, all of them
+counted.  The incidence matrix is cut into column blocks (by n-gram hash); rows
+of a block travel as packed arrays, 7 bytes an entry, so no JVM row is made per
+n-gram.  N-grams are hashes of ``BITS`` bits whatever the cluster.
 
 1. Column blocks count document frequencies.  A document needs a partner that
    holds ``threshold`` of its n-grams, so one with fewer n-grams of frequency
    above 1 is discarded (a size-derived bound); most end here.
-2. Identical sets are folded into their smallest doc_id.
+2. Identical sets are folded into one, which counts for all its copies: copies
+   are never paired with each other.
 3. The product over the survivors' rarest columns (s - ceil(t n) + 1 of s)
    accumulates overlap counts per block; summed over the blocks, pairs whose
    count cannot reach t / (1 + t) (n_a + n_b) any more are discarded.
-4. The remaining pairs get their full overlap from dense tiles of the product
-   (a set travels once per neighbourhood, not once per pair).
+4. The remaining pairs get their full overlap from dense tiles of the product.
+   A neighbourhood of many pairs is cut into cells of about ``CELL`` pairs, each
+   a task's work of its own; a set travels once per cell.  A cell returns a row
+   per document, not per pair.
 
 No cap on partners or frequencies: frequent n-grams are last in the order and
 are only multiplied where a document consists of them.
 
 Defined cases: words are runs of letters and digits of the lower-cased text; a
 text of 1 to n - 1 words has one gram of all of them; null or wordless texts
-have no n-gram and no partner; rows with a null doc_id are not reported; rows
-that repeat a doc_id count as one document (the row with the most n-grams);
-empty tables give no pairs; other columns are not read.  Columns of the result:
-doc_a < doc_b, jaccard.
+have no n-gram and no partner and are a class of their own; rows with a null
+doc_id are not reported and count for nobody; rows that repeat a doc_id with
+different texts are documents of their own, equal rows are one document (with a
+row of the result for each); among equals of a class the least doc_id, then the
+least hash of the row is kept; empty tables give no rows; other columns are not
+read.  Columns of the result: doc_id, class_id, n_links, max_jaccard (null
+without link).
 """
 
 from __future__ import annotations
@@ -33,85 +41,119 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import arrays as A
-from .frames import parallelism, texts, written
+from .frames import parallelism, written
 
 N = 5
 THRESHOLD = 0.5
+BITS = 54
+ROWS = 1 << (64 - BITS)
 SLICE = 1 << 20
+BATCH = 1 << 21
 TILE = 1 << 11
 CHUNK = 1 << 22
+CELL = 1 << 18
 EPS = 1e-9
 
 
-def distinct_grams(buf: np.ndarray, offs: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct (row, n-gram of so many bits) of a slice."""
+def node_of(doc_id: Column, text: Column) -> Column:
+    """Identity of a row: its doc_id and text."""
+    return F.xxhash64(doc_id.cast("long"), text)
+
+
+def distinct_grams(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct (row, n-gram) of a slice of ROWS rows at most."""
     starts, ends, bounds = A.words(buf, offs)
     g, b = A.ngram_hashes(A.word_hashes(buf, starts, ends), bounds, n)
     row = np.repeat(np.arange(len(offs) - 1, dtype=np.uint64), np.diff(b))
-    key = row << np.uint64(bits)
-    key |= g >> np.uint64(64 - bits)
+    key = row << np.uint64(BITS)
+    key |= g >> np.uint64(64 - BITS)
     key.sort()
     if len(key):
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-    return (key >> np.uint64(bits)).astype(np.int64), key & np.uint64((1 << bits) - 1)
-
-
-def _bits(blocks: int) -> int:
-    return min(46, 40 + blocks.bit_length() - 1)
+    return (key >> np.uint64(BITS)).astype(np.int64), key & np.uint64((1 << BITS) - 1)
 
 
 def _blob(a: np.ndarray) -> bytes:
     return a.tobytes()
 
 
+def pack(grams: np.ndarray) -> bytes:
+    """The seven low bytes of each gram."""
+    return np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
+def unpack(parts: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 7)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :7] = raw
+    return out.view(np.uint64).ravel()
+
+
 def _least(n: np.ndarray, t: float) -> np.ndarray:
     """Least overlap that a set of size n needs with any partner."""
     return np.ceil(t * n - EPS).astype(np.int64)
 
 
-INCIDENCE = "block int, batch long, counts binary, lo binary, hi binary, ids binary, sizes binary"
-SHARED = "block int, batch long, counts binary, lo binary, hi binary, df binary, ids binary, sizes binary"
+INCIDENCE = "block int, batch long, docs binary, counts binary, grams binary, heads binary"
+SHARED = "block int, batch long, docs binary, counts binary, grams binary, df binary, heads binary"
+HEAD = np.dtype([("node", "<i8"), ("doc_id", "<i8"), ("key", "<i8"), ("n", "<i4")])
 
 
 def incidence(docs: DataFrame, n: int, blocks: int) -> DataFrame:
-    """Packed entries by column block; one block of each batch carries the documents' ids and set sizes."""
-    bits = _bits(blocks)
+    """Packed entries by column block, of batches of about BATCH entries; one block of each batch carries the documents' heads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = TaskContext.get().partitionId() << 32
-        for part, buf, offs in A.slices(batches, "text", SLICE):
-            rows, gram = distinct_grams(buf, offs, n, bits)
-            if not len(gram):
-                continue
-            size = len(offs) - 1
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            heads, rows, gram = (np.concatenate(x) for x in zip(*held))
             block = (gram % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block.astype(np.uint16) if blocks <= 1 << 16 else block, kind="stable")
-            block, rows, rest = block[order], rows[order], gram[order] // np.uint64(blocks)
-            lo, hi = (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8)
+            block, rows, gram = block[order], rows[order], gram[order]
             at = np.searchsorted(block, np.arange(blocks + 1))
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(6)]
             home = batch % blocks
             for k in range(blocks):
                 i, j = at[k], at[k + 1]
                 if i == j and k != home:
                     continue
-                head = k == home
-                counts = np.bincount(rows[i:j], minlength=size).astype(np.uint32)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                values = (k, batch, _blob(counts), _blob(lo[i:j]), _blob(hi[i:j]), _blob(ids) if head else None, _blob(np.bincount(rows, minlength=size).astype(np.int32)) if head else None)
+                first = i + np.flatnonzero(np.diff(rows[i:j], prepend=-1))
+                values = (k, batch, _blob(rows[first].astype(np.uint32)), _blob(np.diff(first, append=j).astype(np.uint32)), pack(gram[i:j]), _blob(heads) if k == home else None)
                 for c, v in zip(out, values):
                     c.append(v)
                 if len(out[0]) >= 512:
                     yield _batch(out, INCIDENCE)
-                    out = [[] for _ in range(7)]
+                    out = [[] for _ in range(6)]
             if out[0]:
                 yield _batch(out, INCIDENCE)
-            batch += 1
 
-    return texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, INCIDENCE)
+        for part, buf, offs in A.slices(batches, "text", SLICE, ROWS):
+            rows, gram = distinct_grams(buf, offs, n)
+            if not len(gram):
+                continue
+            heads = np.zeros(len(offs) - 1, HEAD)
+            heads["node"], heads["doc_id"] = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+            bounds = np.searchsorted(rows, np.arange(len(offs)))
+            heads["n"] = np.diff(bounds)
+            with np.errstate(over="ignore"):
+                heads["key"] = A.sum_by_row(A.mix(gram.copy()).view(np.int64), bounds)
+            held.append((heads, rows + count, gram))
+            size, count = size + len(gram), count + len(heads)
+            if size >= BATCH:
+                yield from flush()
+                held, size, count = [], 0, 0
+                batch += 1
+        if held:
+            yield from flush()
+
+    own = docs.where(docs["doc_id"].isNotNull() & docs["text"].isNotNull())
+    rows = own.select(node_of(docs["doc_id"], docs["text"]).alias("node"), docs["doc_id"].cast("long").alias("doc_id"), F.lower(docs["text"]).alias("text"))
+    return rows.mapInArrow(run, INCIDENCE)
 
 
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
@@ -123,72 +165,71 @@ def _batch(columns: list, schema: str) -> pa.RecordBatch:
 
 
 def shared_grams(entries: DataFrame, blocks: int) -> DataFrame:
-    """Entries whose n-gram occurs in two rows or more, with the (capped) frequency."""
+    """Entries whose n-gram occurs in two rows or more, with the frequency (255 for more, which orders columns only)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(7)))]
+        rows = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(6)))]
         if not rows:
             return
-        lo = np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows])
-        hi = np.concatenate([np.frombuffer(r[4], np.uint8) for r in rows])
-        length = np.array([len(r[4]) for r in rows])
-        gram = (lo.astype(np.uint64) | hi.astype(np.uint64) << np.uint64(32)) * np.uint64(blocks) + np.repeat(np.array([r[0] for r in rows], np.uint64), length)
+        gram = unpack([r[4] for r in rows])
+        length = np.array([len(r[4]) // 7 for r in rows])
         order = np.argsort(gram)
         g = gram[order]
         first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
         count = np.diff(np.concatenate((first, [len(g)])))
         df = np.empty(len(g), np.uint8)
         df[order] = np.repeat(np.minimum(count, 255), count).astype(np.uint8)
+        del order, g
         keep = df > 1
         at = np.concatenate(([0], np.cumsum(length)))
-        out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in range(7)]
         for k, r in enumerate(rows):
             s = slice(at[k], at[k + 1])
             m = keep[s]
-            counts = np.frombuffer(r[2], np.uint32)
-            left = A.sum_by_row(m.astype(np.int64), np.concatenate(([0], np.cumsum(counts.astype(np.int64))))).astype(np.uint32)
-            if m.any() or r[5] is not None:
-                for c, v in zip(out, (r[0], r[1], _blob(left), _blob(lo[s][m]), _blob(hi[s][m]), _blob(df[s][m]), r[5], r[6])):
-                    c.append(v)
+            if not m.any() and r[5] is None:
+                continue
+            docs, counts = np.frombuffer(r[2], np.uint32), np.frombuffer(r[3], np.uint32)
+            left = A.sum_by_row(m.astype(np.int64), np.concatenate(([0], np.cumsum(counts.astype(np.int64)))))
+            some = left > 0
+            for c, v in zip(out, (r[0], r[1], _blob(docs[some]), _blob(left[some].astype(np.uint32)), pack(gram[s][m]), _blob(df[s][m]), r[5])):
+                c.append(v)
             if len(out[0]) >= 512:
                 yield _batch(out, SHARED)
-                out = [[] for _ in range(8)]
+                out = [[] for _ in range(7)]
         if out[0]:
             yield _batch(out, SHARED)
 
-    return entries.repartition(blocks, "block").mapInArrow(run, SHARED)
+    return entries.repartitionById(blocks, "block").mapInArrow(run, SHARED)
 
 
-SURVIVOR = "doc_id long, n int, set_key long, grams binary"
+SURVIVOR = "batch long, place int, node long, doc_id long, n int, set_key long, grams binary"
 
 
-def survivors(shared: DataFrame, blocks: int, threshold: float) -> DataFrame:
-    """Documents with enough shared n-grams: size of the set, the shared ones rarest first, and a key if all are shared."""
+def survivors(shared: DataFrame, threshold: float) -> DataFrame:
+    """Documents with enough shared n-grams: size and key of the set, and the shared n-grams, rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list] = {}
         for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in range(8))):
+            for r in zip(*(b.column(k).to_pylist() for k in range(7))):
                 by.setdefault(r[1], []).append(r)
-        for rows in by.values():
-            head = next(r for r in rows if r[6] is not None)
-            ids, n = np.frombuffer(head[6], np.int64), np.frombuffer(head[7], np.int32)
-            gram = np.concatenate([(np.frombuffer(r[3], np.uint32).astype(np.uint64) | np.frombuffer(r[4], np.uint8).astype(np.uint64) << np.uint64(32)) * np.uint64(blocks) + np.uint64(r[0]) for r in rows])
-            doc = np.concatenate([np.repeat(np.arange(len(ids)), np.frombuffer(r[2], np.uint32)) for r in rows])
-            df = np.concatenate([np.frombuffer(r[5], np.uint8) for r in rows])
-            s = np.bincount(doc, minlength=len(ids))
+        for batch, rows in by.items():
+            head = np.frombuffer(next(r[6] for r in rows if r[6] is not None), HEAD)
+            gram = unpack([r[4] for r in rows])
+            doc = np.concatenate([np.repeat(np.frombuffer(r[2], np.uint32), np.frombuffer(r[3], np.uint32)) for r in rows]).astype(np.int64)
+            df = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+            n = head["n"]
+            s = np.bincount(doc, minlength=len(head))
             alive = (n > 0) & (s >= _least(n, threshold))
             k = alive[doc]
             doc, gram, df = doc[k], gram[k], df[k]
-            order = np.argsort(gram | df.astype(np.uint64) << np.uint64(48), kind="stable")
+            order = np.argsort(gram | df.astype(np.uint64) << np.uint64(BITS), kind="stable")
             order = order[np.argsort(doc[order].astype(np.int32), kind="stable")]
             doc, gram = doc[order], gram[order]
-            at = np.searchsorted(doc, np.arange(len(ids) + 1))
-            with np.errstate(over="ignore"):
-                key = A.sum_by_row(A.mix(gram.copy()).view(np.int64), at) if len(gram) else np.zeros(len(ids), np.int64)
-            out: list[list] = [[], [], [], []]
-            for d in np.flatnonzero(alive):
-                for c, v in zip(out, (int(ids[d]), int(n[d]), int(key[d]) if s[d] == n[d] else None, _blob(gram[at[d] : at[d + 1]]))):
+            at = np.searchsorted(doc, np.arange(len(head) + 1))
+            out: list[list] = [[] for _ in range(7)]
+            for d in np.flatnonzero(alive).tolist():
+                for c, v in zip(out, (batch, d, int(head["node"][d]), int(head["doc_id"][d]), int(n[d]), int(head["key"][d]), pack(gram[at[d] : at[d + 1]]))):
                     c.append(v)
             if out[0]:
                 yield _batch(out, SURVIVOR)
@@ -206,11 +247,11 @@ def prefix_product(sets: DataFrame, blocks: int, threshold: float) -> DataFrame:
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            raw = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
+            raw = b.column(2).to_pylist()
             if not raw:
                 continue
-            take = np.array([len(x) for x in raw]) - _least(n, threshold) + 1
-            gram = np.concatenate([x[:k] for x, k in zip(raw, take)])
+            take = np.array([len(x) // 7 for x in raw]) - _least(n, threshold) + 1
+            gram = unpack([x[: 7 * k] for x, k in zip(raw, take.tolist())])
             doc, size = np.repeat(ids, take), np.repeat(n.astype(np.int32), take)
             block = (gram % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
@@ -261,8 +302,8 @@ def prefix_product(sets: DataFrame, blocks: int, threshold: float) -> DataFrame:
             p, q = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[q]), pa.array(sizes[p].astype(np.int32)), pa.array(sizes[q].astype(np.int32)), pa.array(times[i : i + (1 << 16)])], ["a", "b", "na", "nb", "c"])
 
-    packed = sets.select("doc_id", "n", "grams").mapInArrow(scatter, schema)
-    return packed.repartition(blocks, "block").mapInArrow(multiply, PARTIAL)
+    packed = sets.select("node", "n", "grams").mapInArrow(scatter, schema)
+    return packed.repartitionById(blocks, "block").mapInArrow(multiply, PARTIAL)
 
 
 def candidates(partial: DataFrame, threshold: float) -> DataFrame:
@@ -313,11 +354,8 @@ def overlap(grams: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray
     return out
 
 
-PAIRS = "doc_a long, doc_b long, jaccard double"
-
-
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (root, member) of the components of edges (a, b), root the least node: as many as members, however many edges."""
+    """(nodes, root of each) of the components of edges (a, b), root the least node."""
     nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
     x, y = at[: len(a)], at[len(a) :]
     root = np.arange(len(nodes))
@@ -327,111 +365,143 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.minimum.at(new, y, root[x])
         new = new[new]
         if (new == root).all():
-            break
+            return nodes, nodes[root]
         root = new
-    member = root != np.arange(len(nodes))
-    return nodes[root[member]], nodes[member]
 
 
-def verify(pairs: DataFrame, sets: DataFrame, threshold: float, linked: bool = False) -> DataFrame:
-    """Exact similarity of the candidates; a pair is computed where the least neighbour of its first document is.
+LINKS = "node long, root long, links long, best double"
 
-    linked: only edges that keep the similar pairs of a neighbourhood connected, with jaccard null.
-    """
+
+def homed(pairs: DataFrame, cell: int = CELL) -> DataFrame:
+    """(cell, a, b): a pair belongs to the neighbourhood of the least neighbour of its first document, cut into cells of about so many pairs."""
     lead = pairs.groupBy("b").agg(F.min("a").alias("least")).withColumnRenamed("b", "a")
-    homed = pairs.join(lead, "a", "left").select(F.coalesce("least", "a").alias("home"), "a", "b")
-    need = homed.select("home", F.col("a").alias("doc_id")).union(homed.select("home", "b")).distinct()
-    rows = need.join(sets, "doc_id").select("home", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "n", "grams")
-    both = rows.union(homed.select("home", "a", "b", F.lit(None).cast("int"), F.lit(None).cast("binary")))
+    own = pairs.join(lead, "a", "left").select(F.coalesce("least", "a").alias("home"), "a", "b")
+    side = own.groupBy("home").agg(F.ceil(F.sqrt(F.count("*") / cell)).alias("side"))
+    tile = lambda c: F.pmod(F.xxhash64(c), F.col("side"))
+    return own.join(side, "home").select(F.xxhash64("home", tile("a"), tile("b")).alias("cell"), "a", "b")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, threshold: float, cell: int = CELL) -> DataFrame:
+    """By cell and set with a similar one: links (to documents, copies of the other set counted), the best similarity and a root that its cell's pairs lead to."""
+    own = written(homed(pairs, cell), "cells")
+    need = own.select("cell", F.col("a").alias("node")).union(own.select("cell", "b")).distinct()
+    rows = need.join(sets, "node").select("cell", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "n", "copies", "grams")
+    both = rows.union(own.select("cell", "a", "b", F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("binary")))
+
+    def judge(sets_: list, own_: list) -> pa.RecordBatch | None:
+        if not own_:
+            return None
+        members = sorted(sets_, key=lambda r: r[0])
+        ids, n, copies = (np.array([m[k] for m in members]) for k in (0, 1, 2))
+        p = np.array(own_, np.int64)
+        x, y = np.searchsorted(ids, p[:, 0]), np.searchsorted(ids, p[:, 1])
+        common = overlap([unpack([m[3]]) for m in members], x, y)
+        j = common / (n[x] + n[y] - common)
+        ok = j >= threshold - EPS
+        if not ok.any():
+            return None
+        x, y, j = x[ok], y[ok], j[ok]
+        nodes, root = stars(x, y)
+        links = np.bincount(x, copies[y], len(ids)) + np.bincount(y, copies[x], len(ids))
+        best = np.zeros(len(ids))
+        np.maximum.at(best, x, j)
+        np.maximum.at(best, y, j)
+        return pa.RecordBatch.from_arrays([pa.array(ids[nodes]), pa.array(ids[root]), pa.array(links[nodes].astype(np.int64)), pa.array(best[nodes])], ["node", "root", "links", "best"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets_of: dict[int, list] = {}
-        pairs_of: dict[int, list] = {}
+        at, sets_, own_ = None, [], []
         for batch in batches:
-            for home, a, b, n, grams in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for key, a, b, n, copies, grams in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if key != at:
+                    out = judge(sets_, own_)
+                    if out is not None:
+                        yield out
+                    at, sets_, own_ = key, [], []
                 if grams is None:
-                    pairs_of.setdefault(home, []).append((a, b))
+                    own_.append((a, b))
                 else:
-                    sets_of.setdefault(home, []).append((a, n, np.frombuffer(grams, np.uint64)))
-        for home, own in pairs_of.items():
-            members = sorted(sets_of[home], key=lambda r: r[0])
-            ids, n = np.array([m[0] for m in members]), np.array([m[1] for m in members])
-            p = np.array(own, np.int64)
-            x, y = np.searchsorted(ids, p[:, 0]), np.searchsorted(ids, p[:, 1])
-            both = overlap([m[2] for m in members], x, y)
-            j = both / (n[x] + n[y] - both)
-            ok = j >= threshold - EPS
-            if ok.any() and linked:
-                root, member = stars(p[ok, 0], p[ok, 1])
-                yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(member), pa.nulls(len(root), pa.float64())], ["doc_a", "doc_b", "jaccard"])
-            elif ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(p[ok, 0]), pa.array(p[ok, 1]), pa.array(j[ok])], ["doc_a", "doc_b", "jaccard"])
-
-    return both.repartition("home").mapInArrow(run, PAIRS)
-
-
-def folded(docs: DataFrame, n: int, threshold: float, linked: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Similar pairs of distinct sets, by the smallest doc_id of each, and the doc_ids of every repeated set (rep, doc_id); both written."""
-    blocks = parallelism(docs.sparkSession)
-    alive = survivors(shared_grams(incidence(docs, n, blocks), blocks), blocks, threshold)
-    one = F.max(F.struct("n", "set_key", "grams")).alias("r")
-    alive = written(alive.groupBy("doc_id").agg(one).select("doc_id", "r.n", "r.set_key", "r.grams"), "survivors")
-    copies = alive.where("set_key IS NOT NULL").groupBy("set_key", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    members = written(alive.select("doc_id", "set_key", "n").join(copies, ["set_key", "n"]).select("rep", "doc_id"), "copies")
-    sets = alive.join(members.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti").select("doc_id", "n", "grams")
-    pairs = written(candidates(prefix_product(sets, max(8, blocks // 4), threshold), threshold), "candidates")  # a fraction of the columns: fewer, equally full blocks repeat fewer pairs
-    return written(verify(pairs, sets, threshold, linked), "pairs"), members
+                    sets_.append((a, n, copies, grams))
+        out = judge(sets_, own_)
+        if out is not None:
+            yield out
 
+    return both.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, LINKS)
 
-def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs doc_a < doc_b with jaccard >= threshold."""
-    near, members = folded(docs, n, threshold)
-    first = members.withColumnsRenamed({"rep": "doc_a", "doc_id": "m_a"})
-    second = members.withColumnsRenamed({"rep": "doc_b", "doc_id": "m_b"})
-    spread = near.join(first, "doc_a", "left").join(second, "doc_b", "left")
-    a, b = F.coalesce("m_a", "doc_a"), F.coalesce("m_b", "doc_b")
-    spread = spread.select(F.least(a, b).alias("doc_a"), F.greatest(a, b).alias("doc_b"), "jaccard")
-    same = members.join(members.withColumnRenamed("doc_id", "other"), "rep").where("doc_id < other")
-    return spread.union(same.select("doc_id", "other", F.lit(1.0)))
+
+def folded(docs: DataFrame, n: int, threshold: float, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """Links of distinct sets by the set's representative (LINKS, a row for each cell), and the documents that may have any: node, doc_id, rep, copies; both written."""
+    blocks = parallelism(docs.sparkSession)
+    alive = written(survivors(shared_grams(incidence(docs, n, blocks), blocks), threshold), "survivors")
+    narrow = alive.select("batch", "place", "node", "doc_id", "n", "set_key")
+    repeated = narrow.groupBy("set_key", "n").agg(F.min(F.struct("doc_id", "node", "batch", "place")).alias("r"), F.count_distinct("node").alias("copies"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    member = written(narrow.join(repeated, ["set_key", "n"], "left").select("batch", "place", "node", "doc_id", "r", "copies"), "members")
+    several = member.where("r IS NOT NULL")
+    role = several.select("batch", "place", F.when((F.col("r.batch") == F.col("batch")) & (F.col("r.place") == F.col("place")), F.col("copies")).otherwise(0).alias("copies"))
+    sets = alive.join(role, ["batch", "place"], "left").select("node", "n", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "grams").where("copies > 0")
+    pairs = written(candidates(prefix_product(sets, max(8, blocks // 4), threshold), threshold), "candidates")  # a fraction of the columns: fewer, equally full blocks repeat fewer pairs
+    links = written(verify(pairs, sets, threshold, cell), "links")
+    return links, member.select("node", "doc_id", F.coalesce("r.node", "node").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(doc_id, root) of the nodes of edges (a, b): root is the least node that can be reached.
+    """(node, root) of the nodes of edges (a, b): root is the least node that can be reached.
 
     Least labels spread over the edges and are then followed to their own labels, until none changes; each round is written.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "doc_id"), "labels")
+    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"), "labels")
     while True:
-        spread = both.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy("a").agg(F.min("root").alias("near")).withColumnRenamed("a", "doc_id")
-        step = labels.join(spread, "doc_id", "left").select("doc_id", "root", F.least("root", F.coalesce("near", "root")).alias("next"))
-        jump = labels.select(F.col("doc_id").alias("next"), F.col("root").alias("far"))
-        new = written(step.join(jump, "next", "left").select("doc_id", "root", F.least("next", F.coalesce("far", "next")).alias("next")), "labels")
+        spread = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near")).withColumnRenamed("a", "node")
+        step = labels.join(spread, "node", "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("next"))
+        jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
+        new = written(step.join(jump, "next", "left").select("node", "root", F.least("next", F.coalesce("far", "next")).alias("next")), "labels")
         changed = not new.where("next <> root").isEmpty()
-        labels = new.select("doc_id", F.col("next").alias("root"))
+        labels = new.select("node", F.col("next").alias("root"))
         if not changed:
             return labels
 
 
-def near_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, root) for every document that has a partner: groups joined by pairs, root the smallest doc_id."""
-    near, members = folded(docs, n, threshold, linked=True)
-    edges = near.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).union(members.where("doc_id <> rep").select("rep", "doc_id"))
-    return components(edges)
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, cell: int = CELL) -> DataFrame:
+    """(node, class_id, kept, n_links, max_jaccard) of every document that has a link; kept: it is the one of its class that stays."""
+    links, member = folded(docs, n, threshold, cell)
+    counted = links.groupBy("node").agg(F.sum("links").alias("links"), F.max("best").alias("best")).withColumnRenamed("node", "rep")
+    roots = components(links.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))).withColumnRenamed("node", "rep")
+    own = member.join(counted, "rep", "left").join(roots, "rep", "left").where("copies > 1 OR links IS NOT NULL")
+    own = written(
+        own.select(
+            F.coalesce("root", "rep").alias("root"), "doc_id", "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+            F.when(F.col("copies") > 1, 1.0).otherwise(F.col("best")).alias("max_jaccard"),
+        ),
+        "linked",
+    )
+    first = own.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    return own.join(first, "root").select("node", F.col("first.doc_id").alias("class_id"), (F.col("first.node") == F.col("node")).alias("kept"), "n_links", "max_jaccard")
+
+
+def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, cell: int = CELL) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, max_jaccard."""
+    found = classes(docs, n, threshold, cell)
+    own = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), node_of(docs["doc_id"], docs["text"]).alias("node"))
+    return own.join(found, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "max_jaccard")
 
 
 def without_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without those that are not the smallest doc_id of their group; rows with a null doc_id stay."""
-    gone = near_groups(docs, n, threshold).where("doc_id <> root").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """One document of each class, that of the smallest doc_id; rows with a null doc_id and rows without partner stay."""
+    gone = classes(docs, n, threshold).where("NOT kept").select(F.col("node").alias("__gone"))
+    return docs.join(gone, node_of(docs["doc_id"], docs["text"]) == gone["__gone"], "left_anti")
 
 
 SQL = f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{{80}}-\\x{{10ffff}}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{{80}}-\\x{{10ffff}}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i:i + {N - 1}], ' ')) END) AS g FROM w WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, c / (x.n + y.n - c)::DOUBLE AS jaccard
-FROM o JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c)::DOUBLE >= {THRESHOLD}
+o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+p AS (SELECT doc_a, doc_b, c / (x.n + y.n - c)::DOUBLE AS jaccard
+    FROM o JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c)::DOUBLE >= {THRESHOLD}),
+e AS (SELECT doc_a AS a, doc_b AS b, jaccard FROM p UNION ALL SELECT doc_b, doc_a, jaccard FROM p),
+r(b, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.b WHERE r.root < e.b)
+SELECT d.doc_id, coalesce(m.root, d.doc_id) AS class_id, coalesce(l.n, 0) AS n_links, l.j AS max_jaccard FROM documents d
+LEFT JOIN (SELECT b, min(root) AS root FROM r GROUP BY b) m ON m.b = d.doc_id
+LEFT JOIN (SELECT a, count(*) AS n, max(jaccard) AS j FROM e GROUP BY a) l ON l.a = d.doc_id WHERE d.doc_id IS NOT NULL
 """

@@ -61,8 +61,8 @@ def test_awkward_rows(spark, awkward, empty, items, labels):
     for f in (lambda d: quality_classifier.quality_classifier(d, labels), bpe.bpe, quality_rules.quality_rules, token_counts.token_counts, language_id.language_id):
         assert f(awkward).count() == n
         assert f(empty).count() == 0
-    pairs = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.ngram_join(awkward).collect()}
-    assert pairs[5, 6] == 1.0 and 0.9 < pairs[7, 8] < 1 and set(pairs) == {(5, 6), (7, 8)}
+    classes = [(r.doc_id, r.class_id, r.n_links) for r in ngram_join.ngram_join(awkward).collect()]
+    assert sorted(classes) == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 1), (6, 5, 1), (6, 5, 1), (7, 7, 1), (8, 7, 1), (9, 9, 0), (10, 10, 0), (11, 11, 0)]
     assert ngram_join.ngram_join(empty).count() == 0 and ngram_join.without_near_copies(empty).count() == 0
     kept = [r.doc_id for r in ngram_join.without_near_copies(awkward).collect()]
     assert sorted(x for x in kept if x) == [1, 2, 3, 4, 5, 7, 9, 10, 11] and None in kept
@@ -97,15 +97,42 @@ def test_ngram_join_brute_force(spark):
         for _ in range(rnd.randint(0, 4)):
             w[rnd.randrange(len(w))] = rnd.choice("xyz")
         rows.append((i, " ".join(w)))
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.ngram_join(docs_of(spark, rows)).collect()}
     want = brute_jaccard(rows, ngram_join.N, ngram_join.THRESHOLD)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
-    groups = {r.doc_id: r.root for r in ngram_join.near_groups(docs_of(spark, rows)).collect()}
     root = {i: i for i, _ in rows}
     for _ in range(20):
         for a, b in want:
             root[a] = root[b] = min(root[a], root[b])
-    assert groups == {i: root[i] for p in want for i in p}
+    for cell in (ngram_join.CELL, 3):  # one cell, and neighbourhoods cut into many
+        got = {r.doc_id: r for r in ngram_join.ngram_join(docs_of(spark, rows), cell=cell).collect()}
+        assert len(got) == len(rows)
+        for i, _ in rows:
+            own = [v for p, v in want.items() if i in p]
+            assert (got[i].class_id, got[i].n_links) == (root[i], len(own))
+            assert (got[i].max_jaccard is None) == (not own) and (not own or abs(got[i].max_jaccard - max(own)) < 1e-12)
+    kept = {r.doc_id for r in ngram_join.without_near_copies(docs_of(spark, rows)).collect()}
+    assert kept == {i for i in root if root[i] == i}
+
+
+def test_rows_of_one_doc_id_are_told_apart(spark):
+    text = [" ".join(f"{c}{k}" for k in range(40)) for c in "abc"]
+    rows = [(1, text[0]), (1, text[1]), (2, text[1]), (3, text[2]), (None, text[2]), (3, text[2])]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.ngram_join(docs_of(spark, rows)).collect())
+    assert got == [(1, 1, 0), (1, 1, 1), (2, 1, 1), (3, 3, 0), (3, 3, 0)]
+    kept = sorted((r.doc_id or 0, r.text[0]) for r in ngram_join.without_near_copies(docs_of(spark, rows)).collect())
+    assert kept == [(0, "c"), (1, "a"), (1, "b"), (3, "c"), (3, "c")]
+
+
+def test_ngram_hashes_do_not_depend_on_the_number_of_partitions(spark):
+    rows = docs_of(spark, [(i, " ".join(f"w{(i // 3 * 7 + k) % 90}" for k in range(30))) for i in range(40)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        out = []
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out.append(sorted(map(tuple, ngram_join.ngram_join(rows).collect()), key=repr))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert out[0] == out[1]
 
 
 def test_overlap_in_tiles(monkeypatch):
