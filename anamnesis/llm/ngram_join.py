@@ -13,12 +13,14 @@ n-gram.  N-grams are hashes of ``BITS`` bits whatever the cluster.
 2. Identical sets are folded into one, which counts for all its copies: copies
    are never paired with each other.
 3. The product over the survivors' rarest columns (s - ceil(t n) + 1 of s)
-   accumulates overlap counts per block; summed over the blocks, pairs whose
-   count cannot reach t / (1 + t) (n_a + n_b) any more are discarded.
+   accumulates overlap counts.  Columns are gathered by their least document,
+   which near copies share, so a pair's counts meet in few tasks; summed, pairs
+   whose count cannot reach t / (1 + t) (n_a + n_b) any more are discarded.
+   Pairs travel packed by document, 16 bytes each, and not as rows.
 4. The remaining pairs get their full overlap from dense tiles of the product.
-   A neighbourhood of many pairs is cut into cells of about ``CELL`` pairs, each
-   a task's work of its own; a set travels once per cell.  A cell returns a row
-   per document, not per pair.
+   A neighbourhood is cut into cells of ``SIDE`` documents a side, as a column of
+   more than ``LONG`` is, each a task's work of its own; a set travels once per
+   cell.  A cell returns a row per document, not per pair.
 
 No cap on partners or frequencies: frequent n-grams are last in the order and
 are only multiplied where a document consists of them.
@@ -54,7 +56,7 @@ SLICE = 1 << 20
 BATCH = 1 << 21
 TILE = 1 << 11
 CHUNK = 1 << 22
-CELL = 1 << 18
+SIDE = LONG = 1 << 11
 EPS = 1e-9
 
 
@@ -237,11 +239,14 @@ def survivors(shared: DataFrame, threshold: float) -> DataFrame:
     return shared.repartition("batch").mapInArrow(run, SURVIVOR)
 
 
-PARTIAL = "a long, b long, na int, nb int, c long"
+LISTS = "home long, split int, docs binary, sizes binary, lengths binary"
 
 
-def prefix_product(sets: DataFrame, blocks: int, threshold: float) -> DataFrame:
-    """Pairs that share one of both documents' rarest columns, with the overlap in those columns, by block."""
+def columns(sets: DataFrame, blocks: int, threshold: float, long: int = LONG) -> DataFrame:
+    """The columns of both documents' rarest n-grams, gathered by their least document: near copies share it, so their counts meet in one task.
+
+    A column of more than ``long`` documents is cut into pairs of pieces, each a task's work of its own (split: documents of the first piece).
+    """
     schema = "block int, docs binary, sizes binary, grams binary"
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,63 +263,187 @@ def prefix_product(sets: DataFrame, blocks: int, threshold: float) -> DataFrame:
             gram, doc, size = gram[order], doc[order], size[order]
             at = np.searchsorted(block[order], np.arange(blocks + 1))
             ks = np.flatnonzero(at[1:] > at[:-1])
-            yield _batch([[int(k) for k in ks], *([_blob(x[at[k] : at[k + 1]]) for k in ks] for x in (doc, size, gram))], schema)
+            yield _batch([ks.tolist(), *([_blob(x[at[k] : at[k + 1]]) for k in ks] for x in (doc, size)), [pack(gram[at[k] : at[k + 1]]) for k in ks]], schema)
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list[np.ndarray]] = [[], [], []]
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list] = [[], [], []]
         for b in batches:
-            for c, k, kind in ((0, 1, np.int64), (1, 2, np.int32), (2, 3, np.uint64)):
-                cols[c] += [np.frombuffer(x, kind) for x in b.column(k).to_pylist()]
+            for k in range(3):
+                cols[k] += b.column(k + 1).to_pylist()
         if not cols[0]:
             return
-        doc, size, gram = (np.concatenate(c) for c in cols)
-        ids, local = np.unique(doc, return_inverse=True)
+        doc, size, gram = np.frombuffer(b"".join(cols[0]), np.int64), np.frombuffer(b"".join(cols[1]), np.int32), unpack(cols[2])
+        order = np.lexsort((size, gram))
+        doc, size, gram = doc[order], size[order], gram[order]
+        begin = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        length = np.diff(begin, append=len(gram))
+        home = np.minimum.reduceat(doc, begin)
+        out: list[list] = [[] for _ in range(5)]
+
+        def add(key: int, split: int, docs: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> None:
+            for c, v in zip(out, (key, split, _blob(docs), _blob(sizes), _blob(lengths.astype(np.uint32)))):
+                c.append(v)
+
+        short = np.flatnonzero((length > 1) & (length <= long))
+        short = short[np.argsort(home[short], kind="stable")]
+        at = A.ragged(begin[short], length[short])
+        docs, sizes = doc[at], size[at]
+        stop = np.cumsum(length[short])
+        for group in np.split(np.arange(len(short)), np.flatnonzero(np.diff(home[short])) + 1):
+            if len(group):
+                i, j = int(stop[group[0]] - length[short[group[0]]]), int(stop[group[-1]])
+                add(int(home[short[group[0]]]), 0, docs[i:j], sizes[i:j], length[short[group]])
+                if len(out[0]) >= 4096:
+                    yield _batch(out, LISTS)
+                    out = [[] for _ in range(5)]
+        for g in np.flatnonzero(length > long).tolist():
+            own = slice(begin[g], begin[g] + length[g])
+            pieces = -(-int(length[g]) // long)
+            piece = (A.mix(doc[own].view(np.uint64).copy()) % np.uint64(pieces)).astype(np.int64)
+            where = [np.flatnonzero(piece == k) for k in range(pieces)]
+            for i in range(pieces):
+                for j in range(i, pieces):
+                    m = where[i] if i == j else np.concatenate((where[i], where[j]))
+                    key = int(A.mix(np.array([home[g]], np.int64).view(np.uint64) + np.uint64(i * pieces + j + 1)).view(np.int64)[0])
+                    if len(m) > 1:
+                        add(key, 0 if i == j else len(where[i]), doc[own][m], size[own][m], np.array([len(m)]))
+                    if len(out[0]) >= 64:
+                        yield _batch(out, LISTS)
+                        out = [[] for _ in range(5)]
+        if out[0]:
+            yield _batch(out, LISTS)
+
+    packed = sets.select("node", "n", "grams").mapInArrow(scatter, schema)
+    return packed.repartitionById(blocks, "block").mapInArrow(gather, LISTS)
+
+
+PARTIAL = "b long, n int, others binary, sizes binary, counts binary"
+
+
+def product(lists: DataFrame, threshold: float) -> DataFrame:
+    """Overlap counts of pairs of documents, by the larger of both; pairs whose sizes alone rule them out are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list] = [[], [], [], []]
+        pieces: list[tuple] = []
+        for b in batches:
+            for split, docs, sizes, lengths in zip(*(b.column(k).to_pylist() for k in range(1, 5))):
+                row = (np.frombuffer(docs, np.int64), np.frombuffer(sizes, np.int32))
+                if split:
+                    pieces.append((split, *row))
+                else:
+                    for c, v in zip(parts, (*row, np.frombuffer(lengths, np.uint32))):
+                        c.append(v)
+        if not parts[0] and not pieces:
+            return
+        empty = np.zeros(0, np.int64)
+        doc, size = (np.concatenate([empty, *c]).astype(np.int64) for c in parts[:2])
+        column = np.repeat(np.arange(sum(map(len, parts[2]))), np.concatenate([empty, *parts[2]]).astype(np.int64))
+        ids = np.unique(np.concatenate([doc, *(p[1] for p in pieces)]))
         sizes = np.zeros(len(ids), np.int64)
+        local = np.searchsorted(ids, doc)
         sizes[local] = size
-        order = np.lexsort((local, size, gram))
-        local, size, gram = local[order], size[order].astype(np.int64), gram[order]
-        rank = np.cumsum(np.concatenate(([0], (gram[1:] != gram[:-1]).astype(np.int64))))
+        for _, d, n in pieces:
+            sizes[np.searchsorted(ids, d)] = n
         most = np.minimum(np.floor(size / threshold + EPS), (1 << 31) - 1).astype(np.int64)
-        stop = np.searchsorted(rank << 32 | size, rank << 32 | most, "right")
-        count = np.maximum(stop - np.arange(len(rank)) - 1, 0)
-        total = np.concatenate(([0], np.cumsum(count)))
+        stop = np.searchsorted(column << 32 | size, column << 32 | most, "right")  # a column's documents are in order of their sizes
+        count = np.maximum(stop - np.arange(len(column)) - 1, 0)
         codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        i, kept = 0, 0
+        kept = 0
+
+        def tally(x: np.ndarray, y: np.ndarray) -> None:
+            nonlocal kept
+            u, c = np.unique(np.minimum(x, y) + np.maximum(x, y) * len(ids), return_counts=True)
+            held.append((u, c))
+            kept += len(u)
+            if kept > CHUNK:
+                fold()
+
+        def fold() -> None:
+            nonlocal codes, times, held, kept
+            u, inv = np.unique(np.concatenate([codes, *(h[0] for h in held)]), return_inverse=True)
+            codes, times = u, np.bincount(inv, weights=np.concatenate([times, *(h[1] for h in held)]), minlength=len(u)).astype(np.int64)
+            held, kept = [], 0
+
+        total = np.concatenate(([0], np.cumsum(count)))
+        i = 0
         while i < len(count):
             j = max(i + 1, int(np.searchsorted(total, total[i] + CHUNK, "right")) - 1)
             if total[j] > total[i]:
-                x = np.repeat(np.arange(i, j), count[i:j])
-                y = A.ragged(np.arange(i, j) + 1, count[i:j])
-                x, y = local[x], local[y]
-                u, c = np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y), return_counts=True)
-                held.append((u, c))
-                kept += len(u)
+                tally(local[np.repeat(np.arange(i, j), count[i:j])], local[A.ragged(np.arange(i, j) + 1, count[i:j])])
             i = j
-            if held and (kept > CHUNK or i >= len(count)):
-                u, inv = np.unique(np.concatenate([codes, *(h[0] for h in held)]), return_inverse=True)
-                codes, times = u, np.bincount(inv, weights=np.concatenate([times, *(h[1] for h in held)]), minlength=len(u)).astype(np.int64)
-                held, kept = [], 0
-        a, b = codes // len(ids), codes % len(ids)
-        ok = a != b
-        a, b, times = a[ok], b[ok], times[ok]
-        for i in range(0, len(a), 1 << 16):
-            p, q = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[q]), pa.array(sizes[p].astype(np.int32)), pa.array(sizes[q].astype(np.int32)), pa.array(times[i : i + (1 << 16)])], ["a", "b", "na", "nb", "c"])
-
-    packed = sets.select("node", "n", "grams").mapInArrow(scatter, schema)
-    return packed.repartitionById(blocks, "block").mapInArrow(multiply, PARTIAL)
-
+        for split, d, n in pieces:
+            d = np.searchsorted(ids, d)
+            first, rest, small = d[:split], d[split:], n[split:].astype(np.int64)
+            low = np.searchsorted(small, np.ceil(threshold * n[:split] - EPS), "left")
+            high = np.searchsorted(small, np.floor(n[:split] / threshold + EPS), "right")
+            for k in range(0, len(first), 512):
+                c = np.maximum(high[k : k + 512] - low[k : k + 512], 0)
+                tally(np.repeat(first[k : k + 512], c), rest[A.ragged(low[k : k + 512], c)])
+        fold()
+        width = max(len(ids), 1)
+        real = codes // width != codes % width
+        codes, times = codes[real], times[real]
+        large, other = codes // width, codes % width  # in order of the larger
+        at = np.flatnonzero(np.concatenate((np.ones(min(len(large), 1), bool), large[1:] != large[:-1])))
+        for k in range(0, len(at), 4096):
+            spans = list(zip(at[k : k + 4096].tolist(), [*at[k + 1 : k + 4096 + 1].tolist(), len(large)]))[: len(at[k : k + 4096])]
+            who = large[at[k : k + 4096]]
+            yield _batch([ids[who].tolist(), sizes[who].tolist(), *([_blob(x[i:j]) for i, j in spans] for x in (ids[other], sizes[other].astype(np.int32), times.astype(np.uint32)))], PARTIAL)
+
+    return lists.repartition("home").mapInArrow(run, PARTIAL)
+
+
+CELLS = "cell long, node long, others binary"
+
+
+def candidates(partial: DataFrame, threshold: float, side: int = SIDE) -> DataFrame:
+    """Pairs whose accumulated overlap can still reach the bound, packed, by cell: (cell, node, the smaller documents to compare with), and, without others, who is in a cell.
+
+    A common n-gram outside the two prefixes lies in the suffix of the document whose prefix ends first.  A pair belongs
+    to the neighbourhood of the least document that its larger one may be similar to; a document with more than ``side``
+    others has them in that many pieces, and its pairs in cells by both documents' pieces.
+    """
 
-def candidates(partial: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose accumulated overlap can still reach the bound.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[int, list] = {}
+        size: dict[int, int] = {}
+        for batch in batches:
+            for b, n, *rest in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                rows.setdefault(b, []).append(rest)
+                size[b] = n
+        out: list[list] = [[], [], []]
+        there: set[tuple[int, int]] = set()
+        for b, parts in rows.items():
+            others, first, inv = np.unique(np.frombuffer(b"".join(r[0] for r in parts), np.int64), return_index=True, return_inverse=True)
+            nb = np.frombuffer(b"".join(r[1] for r in parts), np.int32)[first].astype(np.int64)
+            c = np.bincount(inv, np.frombuffer(b"".join(r[2] for r in parts), np.uint32))
+            rest = np.maximum(_least(np.array([size[b]]), threshold), _least(nb, threshold)) - 1
+            need = np.ceil((size[b] + nb) * (threshold / (1 + threshold)) - EPS)
+            others = others[c + rest >= need]
+            if not len(others):
+                continue
+            pieces = 1 << max(0, (len(others) - 1) // side).bit_length()
+            home = A.mix(np.array([others[0], b], np.int64).view(np.uint64))
+            piece = A.mix(others.view(np.uint64).copy()) % np.uint64(pieces)
+            with np.errstate(over="ignore"):
+                cell = A.mix(home[0] * np.uint64(A.BASE) + np.uint64(pieces << 32) + home[1] % np.uint64(pieces) + A.mix(piece + np.uint64(1))).view(np.int64)
+            for k in np.unique(cell).tolist():
+                own = others[cell == k]
+                for col, v in zip(out, (k, b, _blob(own))):
+                    col.append(v)
+                there.add((k, b))
+                there.update((k, x) for x in own.tolist())
+            if len(out[0]) >= 4096:
+                yield _batch(out, CELLS)
+                out = [[], [], []]
+        if out[0]:
+            yield _batch(out, CELLS)
+        if there:
+            yield _batch([*map(list, zip(*there)), [None] * len(there)], CELLS)
 
-    A common n-gram outside the two prefixes lies in the suffix of the document whose prefix ends first.
-    """
-    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-    rest = F.greatest(F.ceil(F.col("na") * threshold - EPS), F.ceil(F.col("nb") * threshold - EPS)) - 1
-    need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - EPS)
-    return summed.where(F.col("c") + rest >= need).select("a", "b")
+    return partial.repartition("b").mapInArrow(run, CELLS)
 
 
 def overlap(grams: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -372,29 +501,20 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 LINKS = "node long, root long, links long, best double"
 
 
-def homed(pairs: DataFrame, cell: int = CELL) -> DataFrame:
-    """(cell, a, b): a pair belongs to the neighbourhood of the least neighbour of its first document, cut into cells of about so many pairs."""
-    lead = pairs.groupBy("b").agg(F.min("a").alias("least")).withColumnRenamed("b", "a")
-    own = pairs.join(lead, "a", "left").select(F.coalesce("least", "a").alias("home"), "a", "b")
-    side = own.groupBy("home").agg(F.ceil(F.sqrt(F.count("*") / cell)).alias("side"))
-    tile = lambda c: F.pmod(F.xxhash64(c), F.col("side"))
-    return own.join(side, "home").select(F.xxhash64("home", tile("a"), tile("b")).alias("cell"), "a", "b")
-
-
-def verify(pairs: DataFrame, sets: DataFrame, threshold: float, cell: int = CELL) -> DataFrame:
+def verify(cells: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """By cell and set with a similar one: links (to documents, copies of the other set counted), the best similarity and a root that its cell's pairs lead to."""
-    own = written(homed(pairs, cell), "cells")
-    need = own.select("cell", F.col("a").alias("node")).union(own.select("cell", "b")).distinct()
-    rows = need.join(sets, "node").select("cell", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "n", "copies", "grams")
-    both = rows.union(own.select("cell", "a", "b", F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("binary")))
+    need = cells.where("others IS NULL").select("cell", "node").distinct()
+    none = F.lit(None)
+    rows = need.join(sets, "node").select("cell", "node", none.cast("binary").alias("others"), "n", "copies", "grams")
+    both = rows.union(cells.where("others IS NOT NULL").select("cell", "node", "others", none.cast("int"), none.cast("long"), none.cast("binary")))
 
     def judge(sets_: list, own_: list) -> pa.RecordBatch | None:
         if not own_:
             return None
         members = sorted(sets_, key=lambda r: r[0])
         ids, n, copies = (np.array([m[k] for m in members]) for k in (0, 1, 2))
-        p = np.array(own_, np.int64)
-        x, y = np.searchsorted(ids, p[:, 0]), np.searchsorted(ids, p[:, 1])
+        x = np.searchsorted(ids, np.repeat(np.array([b for b, _ in own_]), [len(o) // 8 for _, o in own_]))
+        y = np.searchsorted(ids, np.frombuffer(b"".join(o for _, o in own_), np.int64))
         common = overlap([unpack([m[3]]) for m in members], x, y)
         j = common / (n[x] + n[y] - common)
         ok = j >= threshold - EPS
@@ -411,16 +531,16 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float, cell: int = CELL
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sets_, own_ = None, [], []
         for batch in batches:
-            for key, a, b, n, copies, grams in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            for key, node, others, n, copies, grams in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if key != at:
                     out = judge(sets_, own_)
                     if out is not None:
                         yield out
                     at, sets_, own_ = key, [], []
                 if grams is None:
-                    own_.append((a, b))
+                    own_.append((node, others))
                 else:
-                    sets_.append((a, n, copies, grams))
+                    sets_.append((node, n, copies, grams))
         out = judge(sets_, own_)
         if out is not None:
             yield out
@@ -428,7 +548,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float, cell: int = CELL
     return both.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, LINKS)
 
 
-def folded(docs: DataFrame, n: int, threshold: float, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+def folded(docs: DataFrame, n: int, threshold: float, side: int = SIDE) -> tuple[DataFrame, DataFrame]:
     """Links of distinct sets by the set's representative (LINKS, a row for each cell), and the documents that may have any: node, doc_id, rep, copies; both written."""
     blocks = parallelism(docs.sparkSession)
     alive = written(survivors(shared_grams(incidence(docs, n, blocks), blocks), threshold), "survivors")
@@ -438,8 +558,8 @@ def folded(docs: DataFrame, n: int, threshold: float, cell: int = CELL) -> tuple
     several = member.where("r IS NOT NULL")
     role = several.select("batch", "place", F.when((F.col("r.batch") == F.col("batch")) & (F.col("r.place") == F.col("place")), F.col("copies")).otherwise(0).alias("copies"))
     sets = alive.join(role, ["batch", "place"], "left").select("node", "n", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "grams").where("copies > 0")
-    pairs = written(candidates(prefix_product(sets, max(8, blocks // 4), threshold), threshold), "candidates")  # a fraction of the columns: fewer, equally full blocks repeat fewer pairs
-    links = written(verify(pairs, sets, threshold, cell), "links")
+    cells = written(candidates(product(columns(sets, blocks, threshold, side), threshold), threshold, side), "cells")
+    links = written(verify(cells, sets, threshold), "links")
     return links, member.select("node", "doc_id", F.coalesce("r.node", "node").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")).distinct()
 
 
@@ -461,9 +581,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, cell: int = CELL) -> DataFrame:
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, side: int = SIDE) -> DataFrame:
     """(node, class_id, kept, n_links, max_jaccard) of every document that has a link; kept: it is the one of its class that stays."""
-    links, member = folded(docs, n, threshold, cell)
+    links, member = folded(docs, n, threshold, side)
     counted = links.groupBy("node").agg(F.sum("links").alias("links"), F.max("best").alias("best")).withColumnRenamed("node", "rep")
     roots = components(links.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))).withColumnRenamed("node", "rep")
     own = member.join(counted, "rep", "left").join(roots, "rep", "left").where("copies > 1 OR links IS NOT NULL")
@@ -478,9 +598,9 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, cell: int
     return own.join(first, "root").select("node", F.col("first.doc_id").alias("class_id"), (F.col("first.node") == F.col("node")).alias("kept"), "n_links", "max_jaccard")
 
 
-def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, cell: int = CELL) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, side: int = SIDE) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, max_jaccard."""
-    found = classes(docs, n, threshold, cell)
+    found = classes(docs, n, threshold, side)
     own = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), node_of(docs["doc_id"], docs["text"]).alias("node"))
     return own.join(found, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "max_jaccard")
 
