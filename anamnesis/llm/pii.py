@@ -12,14 +12,17 @@ instance's score is that of its best pattern.  Patterns of high confidence and
 support then mark identifiers that no seed expression knows.
 
 Both passes over the documents are narrow; only distinct (pattern, instance)
-rows are shuffled.  The result is decided by a join of candidates with patterns,
-so nothing that grows is broadcast.  ``redact`` broadcasts the accepted patterns
-if there are ``MAX_BROADCAST`` at most and joins spans with documents beyond.
+rows are shuffled.  Candidates are decided by a join with the accepted patterns,
+which are broadcast if there are ``MAX_BROADCAST`` at most and shuffled beyond;
+``redact`` likewise masks in its second pass, or by a join of spans with
+documents on a key of the row (doc_id and text).  Either way gives the same rows.
 
 Defined cases: null or empty texts hold nothing; a row per occurrence (doc_id,
 start, end in code points, kind, value, pattern: 'seed', 'shape' or 'cue');
-repeated rows give repeated occurrences; ties between kinds go to the first in
-the alphabet; empty tables give no rows; other columns are not read.
+repeated rows give repeated occurrences, rows of one doc_id keep their own; ties
+between kinds go to the first in the alphabet; cues and identifiers of any
+length are read whole; empty tables give no rows; other columns are carried by
+``redact``, never read, and their names cannot clash.
 """
 
 from __future__ import annotations
@@ -54,7 +57,6 @@ _SEED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SEEDS.items()), re.I)
 _MARK = re.compile(r"[\d@]|(?i:A[KS]IA|(?<!\w)(?:gh[po]|sk|pk|xox[bp])[_-])|(?P<cue>[^\W\d_]\s?[=:#]\s?[\"']?)(?=[^\s\"'])")
 _ALNUM = re.compile(r"[^\W_]+")
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
-_CUE = re.compile(r"([^\W\d_]+)\s?([=:#])\s?[\"']?$")
 
 
 def shape(value: str) -> str:
@@ -128,8 +130,22 @@ def _forth(text: str, i: int) -> int:
 
 
 def _cue(text: str, begin: int) -> str | None:
-    m = _CUE.search(text, max(0, begin - 40), begin)
-    return (m.group(1) + m.group(2)).lower() if m else None
+    """The letters and the sign before a place, between which and about which a space may stand, and a quote after."""
+    i = begin
+    if i and text[i - 1] in "\"'":
+        i -= 1
+    if i and text[i - 1].isspace():
+        i -= 1
+    if not i or text[i - 1] not in "=:#":
+        return None
+    sign = text[i - 1]
+    end = i - 1
+    if end and text[end - 1].isspace():
+        end -= 1
+    i = end
+    while i and text[i - 1].isalpha():
+        i -= 1
+    return (text[i:end] + sign).lower() if i < end else None
 
 
 FOUND = "doc_id long, start int, end int, value string, seed string, cue string, shape string"
@@ -182,11 +198,14 @@ def learn(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return written(patterns.select("pattern", "support", top.alias("t")).where((F.col("t.confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("pattern", "t.kind", "t.confidence", "support"), "pii-accepted")
 
 
-def decided(found: DataFrame, patterns: DataFrame) -> DataFrame:
+def decided(found: DataFrame, patterns: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
     """The occurrences that are seeds or match an accepted pattern."""
     by_shape = patterns.where("pattern LIKE 'shape:%'").select(F.expr("substring(pattern, 7)").alias("shape"), F.col("kind").alias("by_shape"))
-    by_cue = patterns.where("pattern LIKE 'cue:%'").select(F.expr("substring(pattern, 5)").alias("cue"), F.col("kind").alias("by_cue"))
-    both = found.join(by_shape, "shape", "left").join(by_cue, "cue", "left")
+    by_cue = patterns.where("pattern LIKE 'cue:%'").select(F.expr("substring(pattern, 5)").alias("known"), F.col("kind").alias("by_cue"))
+    if patterns.count() <= limit:
+        by_shape, by_cue = F.broadcast(by_shape), F.broadcast(by_cue)
+    cue = F.coalesce("cue", F.concat(F.lit(" "), "value"))  # no cue has a space: rows without one are spread, not gathered at null
+    both = found.withColumn("at", cue).join(by_shape, "shape", "left").join(by_cue, F.col("at") == F.col("known"), "left")
     kind = F.coalesce("seed", "by_shape", "by_cue")
     why = F.when(F.col("seed").isNotNull(), "seed").when(F.col("by_shape").isNotNull(), "shape").otherwise("cue")
     return both.where(kind.isNotNull()).select("doc_id", "start", "end", kind.alias("kind"), "value", why.alias("pattern"))
@@ -209,7 +228,6 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redact(docs: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
     """The documents with every identifier replaced by <KIND>; n_chars, if there, is the new length."""
-    columns = docs.columns
     found = written(occurrences(docs), "pii-candidates")
     patterns = learn(found)
     if patterns.count() <= limit:
@@ -235,15 +253,16 @@ def redact(docs: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
         out = docs.mapInArrow(run, docs.schema)
     else:
         # a key per row, since rows may share a doc_id; equal rows have equal spans
-        docs = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-        rows = occurrences(docs.select(F.col("__key").alias("doc_id"), "text"))
-        spans = decided(rows, patterns).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("__spans")).withColumnRenamed("doc_id", "__id")
+        whole = docs.select(F.xxhash64(docs["doc_id"], docs["text"]).alias("key"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+        rows = occurrences(whole.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
+        spans = decided(rows, patterns, limit).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("spans")).withColumnRenamed("doc_id", "id")
 
         @F.pandas_udf("string")
         def cover(text, where):  # type: ignore[no-untyped-def]
             return text.combine(where, lambda t, w: t if t is None or w is None else masked(t, [(x["start"], x["end"], x["kind"]) for x in w]))
 
-        out = docs.join(spans, docs["__key"] == spans["__id"], "left").withColumn("text", cover("text", "__spans")).drop("__key", "__id", "__spans").select(*columns)
-    if "n_chars" in columns:
+        masked_rows = whole.join(spans, F.col("key") == F.col("id"), "left").select("row", cover(F.col("row.text"), F.col("spans")).alias("covered"))
+        out = masked_rows.select(*((F.col("covered") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
