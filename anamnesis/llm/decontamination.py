@@ -10,14 +10,17 @@ Texts are compared as words of the lower-cased text joined by one space, in
 UTF-8 bytes, so case, punctuation and white space never count as edits.
 
 The map over documents is narrow.  Only the items travel; they are taken in
-groups of ``GROUP_BYTES`` at most, one pass over the documents each, so a large
-benchmark never has to fit in memory at once.
-
-Defined cases: items of fewer than ``min_length`` bytes (null and empty ones
-too) match nothing; null or empty documents leak nothing; a row per pair of
-doc_id and item_id with the least distance, however often either is repeated; a
-null doc_id or item_id is reported as null; empty tables give no rows; other
-columns are not read.
+groups of ``GROUP_BYTES`` at most, so a large benchmark never has to fit in
+memory at once: ``decontaminate`` makes one pass over the documents for each
+group, ``without_leaks`` one map after another within the same pass.
+
+Defined cases: items of fewer than ``min_length`` bytes allow no edit and match
+whole words only; null, empty and one-word items match nothing (a word is no
+passage); null or empty documents leak nothing; a row per pair of doc_id and
+item_id with the least distance, however often either is repeated; a null
+doc_id or item_id is reported as null; ``without_leaks`` judges each row by its
+own text, whatever its doc_id; empty tables give no rows; other columns are
+carried by ``without_leaks``, never read, and their names cannot clash.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import arrays as A
 from .frames import texts
@@ -122,12 +125,13 @@ def myers(item: bytes, text: bytes) -> int:
 class Matcher:
     """Finds all leaks in a normalised slice."""
 
-    def __init__(self, items: list[bytes], rate: float):
+    def __init__(self, items: list[bytes], rate: float, min_length: int = MIN_LENGTH):
         self.items = items
-        self.budgets = [budget(len(i), rate) for i in items]
+        self.short = [len(i) < min_length for i in items]  # as whole words, without edits
+        self.budgets = [0 if s else budget(len(i), rate) for i, s in zip(items, self.short)]
         where: dict[bytes, list[tuple[int, int, list]]] = {}
         for k, item in enumerate(items):
-            for a, b, above in ancestors(item, rate):
+            for a, b, above in [(0, len(item), [])] if self.short[k] else ancestors(item, rate):
                 where.setdefault(item[a:b], []).append((k, b, above))
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
@@ -136,6 +140,9 @@ class Matcher:
             self.automaton.make_automaton()
 
     def holds(self, text: bytes, k: int, begin: int, above: list[tuple[int, int, int]]) -> bool:
+        if self.short[k]:
+            end = begin + len(self.items[k])
+            return text[max(begin - 1, 0) : begin] in (b" ", b"\n", b"") and text[end : end + 1] in (b" ", b"\n", b"")
         for a, b, edits in above:
             part, own = text[max(begin + a - edits, 0) : max(begin + b + edits, 0)], self.items[k][a:b]
             if own not in part and myers(own, part) > edits:
@@ -185,26 +192,31 @@ class Matcher:
 SCHEMA = "doc_id long, item_id long, distance int"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_length: int = MIN_LENGTH) -> DataFrame:
-    """doc_id, item_id, distance of every leak."""
+def item_groups(benchmark: DataFrame):  # type: ignore[no-untyped-def]
+    """The benchmark's normalised items with their ids, in groups of GROUP_BYTES or so."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = 1 + total // GROUP_BYTES
-    context = docs.sparkSession.sparkContext
-    own = texts(docs)
-    out = None
     for g in range(groups):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(groups)) == g).collect()
         ids_of: dict[bytes, list] = {}
-        for r in rows:
+        for r in items.where(F.pmod(F.xxhash64("text"), F.lit(groups)) == g).collect():
             item = normalise(r.text)
-            if len(item) >= min_length:
+            if b" " in item:
                 ids_of.setdefault(item, []).append(r.item_id)
+        yield ids_of
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_length: int = MIN_LENGTH) -> DataFrame:
+    """doc_id, item_id, distance of every leak."""
+    context = docs.sparkSession.sparkContext
+    own = texts(docs)
+    out = None
+    for ids_of in item_groups(benchmark):
         shared = context.broadcast(ids_of)  # GROUP_BYTES or so
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own_items = list(shared.value)
-            matcher = Matcher(own_items, rate)
+            matcher = Matcher(own_items, rate, min_length)
             for batch, buf, offs in A.slices(batches, "text", SLICE):
                 ids = batch.column(0)
                 found = [(ids[r].as_py(), i, d) for r, k, d in matcher.leaks(*normalised(buf, offs)) for i in shared.value[own_items[k]]]
@@ -216,7 +228,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that leak no item; the list of leaking doc_ids decides, so rows of one doc_id go together."""
-    gone = decontaminate(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_length: int = MIN_LENGTH) -> DataFrame:
+    """The documents that leak no item: decided row by row within the map, so nothing is shuffled."""
+    context = docs.sparkSession.sparkContext
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.lower(F.coalesce(docs["text"], F.lit(""))).alias("text"))
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("text", T.StringType())])
+    for ids_of in item_groups(benchmark):
+        if not ids_of:
+            continue
+        shared = context.broadcast(list(ids_of))  # GROUP_BYTES or so
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shared.value, rate, min_length)
+            for batch, buf, offs in A.slices(batches, "text", SLICE):
+                clean = np.ones(batch.num_rows, bool)
+                clean[[r for r, _, _ in matcher.leaks(*normalised(buf, offs))]] = False
+                yield batch if clean.all() else batch.filter(pa.array(clean))
+
+        rows = rows.mapInArrow(run, schema)
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
