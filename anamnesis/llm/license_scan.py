@@ -1,13 +1,16 @@
-"""License scans: winnowed fingerprints, then banded alignment.
-
-Templates and documents are words of the lower-cased text.  Of the word 3-grams
-of the templates all are in an inverted index; of those of a document only the
-least hash of each window of ``WINDOW`` is looked up (winnowing), so any run of
-``K + WINDOW - 1`` words that a template shares is hit.  Hits of one template
-that lie on near diagonals make a candidate, whose stretch is aligned word by
-word within a band of ``BAND`` words (half a template at most) about the diagonals (local alignment: match
-2, else -1).  A template with ``COVERAGE`` of its words matched is reported; of
-reports that overlap the one with most matched words stays.
+"""License scans: winnowed fingerprints, then banded sequence alignment.
+
+Templates and documents are words of the lower-cased text.  Word n-grams of the
+templates are in an inverted index, of ``CLASSES`` by the template's length:
+with three quarters of its words matched, a template of up to 8 words has a run
+of 2 of them, one of up to 39 a run of 3, and of these all n-grams of a document
+are looked up, so no notice is missed; for longer ones the least hash of each
+window is (winnowing), so that any run of 9 common words is hit.  Hits of one
+template that lie on near diagonals make a candidate; if enough of the
+template's words occur in its stretch at all, that is aligned word by word within
+a band about the diagonals (local alignment: match 2, else -1).  A template with
+``COVERAGE`` of its words matched is reported; of reports that overlap the one
+with most matched words stays.
 
 The map over documents is narrow; the templates, a constant of the library or a
 parameter, are all that travels.
@@ -15,9 +18,9 @@ parameter, are all that travels.
 Defined cases: null or empty texts have no row; a document has a row for each
 stretch (doc_id, license, template, coverage, matched, start, end: code points,
 end exclusive); ties of overlapping reports go to the higher coverage, then the
-first in order; repeated rows give repeated reports; templates shorter than K
-words are one gram of all their words; empty tables give no rows; other columns
-are not read.
+first in order; repeated rows give repeated reports; a template of one word is
+one gram; templates without words are left out; empty tables give no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -33,15 +36,14 @@ from .frames import texts
 from .license_templates import TEMPLATES
 from .lm_scoring import word_keys
 
-K = 3
-WINDOW = 2
+CLASSES = ((8, 2, 1), (39, 3, 1), (1 << 31, 6, 4))  # words of a template at most, words of its n-grams, window
 BAND = 8
 COVERAGE = 0.75
 SLICE = 1 << 21
 FILTER = 20
 
 
-def winnow(h: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> np.ndarray:
+def winnow(h: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
     """Places of the least hash of each window within a row (the last of equals); a row with fewer hashes has its least."""
     n = len(h)
     if not n:
@@ -87,7 +89,7 @@ class Scanner:
     def __init__(self, templates: dict[str, list[str]]):
         self.names: list[tuple[str, int]] = []
         self.words: list[list[int]] = []
-        index: dict[int, list[tuple[int, int]]] = {}
+        self.index: list[dict[int, list[tuple[int, int]]]] = [{} for _ in CLASSES]
         for name, own in templates.items():
             for k, text in enumerate(own):
                 w = word_keys(text)
@@ -96,45 +98,59 @@ class Scanner:
                 t = len(self.words)
                 self.names.append((name, k))
                 self.words.append(w.tolist())
-                for q, g in enumerate(A.ngram_hashes(w, np.array([0, len(w)]), K)[0].tolist()):
-                    index.setdefault(g, []).append((t, q))
-        self.index = index
-        self.maybe = np.zeros(1 << FILTER, bool)
-        if index:
-            self.maybe[np.array(list(index), A.U) >> A.U(64 - FILTER)] = True
+                c = next(c for c, (most, _, _) in enumerate(CLASSES) if len(w) <= most)
+                for q, g in enumerate(A.ngram_hashes(w, np.array([0, len(w)]), CLASSES[c][1])[0].tolist()):
+                    self.index[c].setdefault(g, []).append((t, q))
+        self.maybe = np.zeros((len(CLASSES), 1 << FILTER), bool)
+        for c, index in enumerate(self.index):
+            if index:
+                self.maybe[c, np.array(list(index), A.U) >> A.U(64 - FILTER)] = True
+
+    def hits(self, w: np.ndarray, bounds: np.ndarray) -> dict[int, dict[int, list[tuple[int, int]]]]:
+        """By row and template the places (in the row's words, in the template) of common n-grams."""
+        out: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for c, (_, k, window) in enumerate(CLASSES):
+            if not self.index[c]:
+                continue
+            grams, at = A.ngram_hashes(w, bounds, k)
+            places = np.flatnonzero(self.maybe[c, grams >> A.U(64 - FILTER)])
+            rows = np.searchsorted(at, places, "right") - 1
+            if window > 1:
+                chosen = []
+                for r in np.unique(rows).tolist():
+                    chosen.append(at[r] + winnow(grams[at[r] : at[r + 1]], np.array([0, at[r + 1] - at[r]]), window))
+                places = np.concatenate(chosen) if chosen else places[:0]
+                places = places[self.maybe[c, grams[places] >> A.U(64 - FILTER)]]
+                rows = np.searchsorted(at, places, "right") - 1
+            for r, p, g in zip(rows.tolist(), (places - at[rows]).tolist(), grams[places].tolist()):
+                for t, q in self.index[c].get(g, ()):
+                    out.setdefault(r, {}).setdefault(t, []).append((p, q))
+        return out
 
     def scan(self, buf: np.ndarray, offs: np.ndarray) -> list[tuple[int, str, int, float, int, int, int]]:
         """(row, license, template, coverage, matched, start, end) of a slice, start and end as bytes of the row."""
         starts, ends, bounds = A.words(buf, offs)
         w = A.word_hashes(buf, starts, ends)
-        grams, at = A.ngram_hashes(w, bounds, K)
-        places = np.flatnonzero(self.maybe[grams >> A.U(64 - FILTER)])
-        if not len(places):
-            return []
-        rows = np.unique(np.searchsorted(at, places, "right") - 1)
         out = []
-        for r in rows.tolist():
-            own = grams[at[r] : at[r + 1]]
-            hits: dict[int, list[tuple[int, int]]] = {}
-            for p in winnow(own, np.array([0, len(own)])).tolist():
-                for t, q in self.index.get(int(own[p]), ()):
-                    hits.setdefault(t, []).append((p, q))
-            if not hits:
-                continue
+        for r, found in sorted(self.hits(w, bounds).items()):
             words = w[bounds[r] : bounds[r + 1]].tolist()
             reports = []
-            for t, places_ in hits.items():
-                size = len(self.words[t])
-                band = min(BAND, max(1, size // 2))  # repeats of a short notice stay apart
+            for t, places in found.items():
+                own = self.words[t]
+                size = len(own)
+                band = min(max(BAND, size // 40), max(1, size // 2))  # repeats of a short notice stay apart, a long text may drift
                 groups: list[list[int]] = []  # of the diagonals p - q, those within the band of each other
-                for d in sorted({p - q for p, q in places_}):
+                for d in sorted({p - q for p, q in places}):
                     if groups and d - groups[-1][1] <= band:
                         groups[-1][1] = d
                     else:
                         groups.append([d, d])
                 for low, high in groups:
                     a, b = max(0, low - band), min(len(words), high + size + band)
-                    matched, s, e = align(self.words[t], words[a:b], low - band - a, high + band - a)
+                    there = set(words[a:b])
+                    if sum(x in there for x in own) < COVERAGE * size:
+                        continue
+                    matched, s, e = align(own, words[a:b], low - band - a, high + band - a)
                     if matched >= COVERAGE * size:
                         reports.append((-matched, -matched / size, self.names[t], a + s, a + e))
             taken: list[tuple[int, int]] = []
