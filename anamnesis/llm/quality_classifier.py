@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Tokens (white-space runs, case kept, so that shouting and symbol junk show)
-and their character 3- to 5-grams are hashed into buckets; a document is the
+Tokens (white-space runs, case kept, so that shouting and symbol junk show),
+pairs of neighbouring tokens and the tokens' character 3- to 5-grams are hashed into buckets; a document is the
 mean of its features' vectors, and two softmax heads give the probability of
 good quality and of toxicity.  Trained by numpy stochastic gradient descent on
 the driver over a bounded labelled sample; scored by one narrow map.  As the
@@ -12,9 +12,11 @@ that scoring a document is a sum over its features.
 fitted: the documented bound.  All documents are scored, over their whole texts.
 
 Defined cases: a null, empty or blank text has no features and gets the
-probabilities of the bias alone; labels that are null train nothing, repeated
-labels of a document are averaged; without labels every probability is 0.5;
-equal rows get a row each; other columns are not read.
+probabilities of the bias alone; a null doc_id is scored and reported as null; a
+probability of exactly 0.5 is class 1; labels that are null, or of a null
+doc_id, train nothing, repeated labels of a document are averaged, and of rows
+that repeat a labelled doc_id the least text is fitted; without labels every
+probability is 0.5; equal rows get a row each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,13 +40,16 @@ NGRAMS = (3, 4, 5)
 
 
 def features(buf: np.ndarray, offs: np.ndarray, buckets: int = BUCKETS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Feature buckets and the rows' bounds among them: for the tokens, then for the n-grams within ' token ' of each length."""
+    """Feature buckets and the rows' bounds among them: for the tokens, their pairs, then the n-grams within ' token ' of each length."""
     cp, co = A.codepoints(buf, offs)
     space = (cp == 32) | (cp - np.uint32(9) <= 4)
     starts, ends, bounds = A.runs(~space, co)
     h = A.prefix_hash(np.where(space, np.uint32(32), cp))
     rows = np.repeat(np.arange(len(offs) - 1), np.diff(bounds))
-    out = [((A.span_hash(h, starts, ends) % A.U(buckets)).astype(np.int64), bounds)]
+    token = A.span_hash(h, starts, ends)
+    pair = np.flatnonzero(rows[1:] == rows[:-1])
+    both = A.mix(token[pair] * A.U(A.BASE) ^ token[np.minimum(pair + 1, len(token) - 1)] if len(pair) else token[:0])
+    out = [((token % A.U(buckets)).astype(np.int64), bounds), ((both % A.U(buckets)).astype(np.int64), np.searchsorted(pair, bounds))]
     lo = np.where(starts > co[rows], starts - 1, starts)  # with the space on either side, where the row has one
     hi = np.where(ends < co[rows + 1], ends + 1, ends)
     for n in NGRAMS:
@@ -124,8 +129,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    own = docs.where("text IS NOT NULL").select("doc_id", "text")
-    rows = own.join(F.broadcast(chosen), "doc_id").collect()  # both bounded by limit
+    own = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = own.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic")).collect()  # limit rows at most
     rows = sorted(rows, key=lambda r: (r.doc_id, r.text))
     nan = float("nan")
     return [r.text for r in rows], np.array([[nan if v is None else v for v in (r.quality, r.toxic)] for r in rows], np.float32).reshape(-1, 2)
