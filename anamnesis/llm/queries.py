@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, corpus_scoring, decontamination, language_id, license_scan, ngram_join, pii, quality_classifier, quality_rules, token_counts
+from . import bpe, decontamination, language_id, license_scan, lm_scoring, ngram_join, pii, quality_classifier, quality_rules, token_counts
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +20,7 @@ def queries() -> dict[str, Query]:
         "op4_bpe": lambda s, d: bpe.bpe(table(s, d, "documents")),
         "op5_pii": lambda s, d: pii.pii(table(s, d, "documents")),
         "op6_quality_rules": lambda s, d: quality_rules.quality_rules(table(s, d, "documents")),
-        "op7_lm_scoring": lambda s, d: corpus_scoring.corpus_scores(table(s, d, "documents")),
+        "op7_lm_scoring": lambda s, d: lm_scoring.lm_scores(table(s, d, "documents")),
         "op8_license_scan": lambda s, d: license_scan.license_scan(table(s, d, "documents")),
         "op9_token_counts": lambda s, d: token_counts.token_counts(table(s, d, "documents")),
         "op10_language_id": lambda s, d: language_id.language_id(table(s, d, "documents")),
