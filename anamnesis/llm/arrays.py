@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 U = np.uint64
@@ -121,14 +122,69 @@ def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((h[ends] - h[starts]) * powers(len(h))[1][starts])
 
 
+def _windows(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of buf (zeros beyond its end) as a number."""
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def _part(window: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Up to eight of the left bytes from each place, those beyond as zeros."""
+    x = window[at]
+    short = np.flatnonzero(left < 8)
+    x[short] &= (U(1) << (U(8) * left[short].astype(U))) - U(1)
+    return x
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(buf), starts, ends)
+    """64-bit hashes of the spans by their content; eight bytes are mixed in at a time, so no algebra makes two words collide."""
+    size = ends - starts
+    h = size.astype(U) * U(BASE)
+    window = _windows(buf)
+    live, k = np.flatnonzero(size > 0), 0
+    while len(live):
+        x = _part(window, starts[live] + k, size[live] - k)
+        x ^= h[live]
+        x *= U(BASE)
+        h[live] = mix(x)
+        k += 8
+        live = live[size[live] > k]
+    return h
 
 
-def hash_bytes(data: bytes) -> int:
-    """The hash that span_hash gives one span with this content."""
-    a = np.frombuffer(data, np.uint8)
-    return int(span_hash(prefix_hash(a), np.array([0]), np.array([len(a)]))[0])
+def differ(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indexes of the pairs of spans of equal size, from a and from b, whose bytes differ."""
+    window = _windows(buf)
+    live, k, out = np.flatnonzero((size > 0) & (a != b)), 0, []
+    while len(live):
+        left = size[live] - k
+        bad = _part(window, a[live] + k, left) != _part(window, b[live] + k, left)
+        out.append(live[bad])
+        k += 8
+        live = live[~bad]
+        live = live[size[live] > k]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group of each span, a span of each group, hash of each group): spans of equal bytes make a group; equal hashes are compared byte by byte."""
+    h = word_hashes(buf, starts, ends)
+    code, own = pd.factorize(h)
+    at = np.empty(len(own), np.int64)
+    at[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    size = ends - starts
+    wrong = np.union1d(np.flatnonzero(size != size[at[code]]), differ(buf, starts, starts[at[code]], np.minimum(size, size[at[code]])))
+    if len(wrong):  # by their bytes
+        groups: dict[bytes, int] = {}
+        extra = []
+        for i in wrong.tolist():
+            g = groups.setdefault(buf[starts[i] : ends[i]].tobytes(), len(own) + len(groups))
+            if g == len(own) + len(extra):
+                extra.append(i)
+            code[i] = g
+        at = np.concatenate((at, np.array(extra, np.int64)))
+        own = np.concatenate((own, h[extra]))
+    return code, at, own
 
 
 def ngram_hashes(w: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,8 +10,10 @@ The vocabulary is a file of byte sequences in rank order; its path is a
 parameter.  The map over documents is narrow; counting shuffles distinct words.
 
 Defined cases: a null or empty text has no ids and decodes to ''; texts of any
-length are encoded whole; repeated rows give a row each; words
-of a level of frequency are in the lexicon all or none; empty tables give no rows; other columns are not read.
+length are encoded whole; repeated rows give a row each; words of a level of
+frequency are in the lexicon all or none; words of equal hash are told apart by
+their bytes; a vocabulary without some single byte is refused; empty tables give
+no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -40,7 +41,15 @@ COUNT_SLICE = 1 << 21
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return checked({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+
+
+def checked(vocabulary: dict) -> dict:
+    """The vocabulary, if every byte is a piece of it, without which some texts have no encoding; else ValueError."""
+    missing = [b for b in range(256) if bytes([b]) not in vocabulary]
+    if missing:
+        raise ValueError(f"the vocabulary lacks {len(missing)} single bytes, the first 0x{missing[0]:02x}")
+    return vocabulary
 
 
 @lru_cache(1)
@@ -333,8 +342,10 @@ class Merger:
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], lexicon: Lexicon):
-        self.merger, self.lexicon = Merger(ranks), lexicon
+    def __init__(self, ranks: dict[bytes, int], lexicon: Lexicon | None):
+        """Without a lexicon it only decodes."""
+        if lexicon is not None:
+            self.merger, self.lexicon = Merger(ranks), lexicon
         size = max(ranks.values(), default=-1) + 1
         pieces = [b""] * size
         for piece, r in ranks.items():
@@ -347,9 +358,7 @@ class Encoder:
         starts, ends, bounds = pretokens(buf, offs)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
-        code, own = pd.factorize(A.word_hashes(buf, starts, ends))
-        at = np.empty(len(own), np.int64)
-        at[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        code, at, _ = A.distinct_spans(buf, starts, ends)
         s, e = starts[at], ends[at]
         place = self.lexicon.find(buf, s, e)
         known = place >= 0
@@ -379,9 +388,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             starts, ends, _ = pretokens(buf, offs)
             if not len(starts):
                 continue
-            code, own = pd.factorize(A.word_hashes(buf, starts, ends))
-            at = np.empty(len(own), np.int64)
-            at[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+            code, at, _ = A.distinct_spans(buf, starts, ends)
             s, size = starts[at], ends[at] - starts[at]
             data = pa.py_buffer(buf[A.ragged(s, size)].tobytes())
             words = pa.BinaryArray.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), data])
@@ -449,13 +456,25 @@ def bpe(docs: DataFrame, vocabulary: str = VOCABULARY, lexicon: int = LEXICON) -
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id and text of rows with doc_id and tokens; bytes that are no UTF-8 become the replacement character; ids outside the vocabulary raise."""
+    """doc_id and text of rows with doc_id and tokens; bytes that are no UTF-8 become the replacement character; null tokens give a null text; null ids and ids outside the vocabulary raise."""
     shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = {r: p for p, r in shared.value.items()}
+        coder = Encoder(shared.value, None)
+        known = np.zeros(len(coder.piece_offs) - 1, bool)
+        known[list(shared.value.values())] = True
         for batch in batches:
-            out = [None if t is None else b"".join(pieces[i] for i in t).decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+            tokens = batch.column(1)
+            ids = tokens.flatten()
+            if ids.null_count:
+                raise ValueError("a token is null")
+            ids = ids.to_numpy().astype(np.int64)
+            if len(ids) and (ids.min() < 0 or ids.max() >= len(known) or not known[ids].all()):
+                raise ValueError("a token is not in the vocabulary")
+            size = tokens.value_lengths().fill_null(0).to_numpy()
+            raw, at = coder.decode(ids, np.concatenate(([0], np.cumsum(size))))
+            data = raw.tobytes()
+            out = [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string(), mask=tokens.is_null().to_numpy(zero_copy_only=False))], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens").mapInArrow(run, "doc_id long, text string")

@@ -8,7 +8,8 @@ pre-tokens.  The map over documents is narrow: no shuffle.
 
 Scores: the vocabulary file lists pieces by rank; a piece's log probability is
 taken as -ln(rank + 2) (Zipf's law), or as given by ``scores``.  Equal scores go
-to fewer pieces.  Every byte must be a piece, so every text has a segmentation.
+to fewer pieces.  Every byte must be a piece, so every text has a segmentation;
+a vocabulary without some single byte is refused.
 
 Defined cases: a null or empty text counts 0; pre-tokens of any length are
 segmented whole (beyond ``LONG`` bytes on their own); repeated rows give a row
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import arrays as A
-from .bpe import VOCABULARY, pretokens, read_ranks
+from .bpe import VOCABULARY, checked, pretokens, read_ranks
 from .frames import texts
 
 SLICE = 1 << 21
@@ -61,7 +62,7 @@ class Unigram:
         self.lengths = sorted({len(p) for p in scores})
         data = np.frombuffer(b"".join(scores), np.uint8)
         ends = np.cumsum([len(p) for p in scores])
-        keys = A.word_hashes(data, np.concatenate(([0], ends[:-1])), ends)
+        keys = A.span_hash(A.prefix_hash(data), np.concatenate(([0], ends[:-1])), ends)
         self.shift = np.uint64(64 - (8 * len(keys)).bit_length())
         size = 1 << (64 - int(self.shift))
         self.slots = np.zeros(size, A.U)  # 0: free
@@ -146,9 +147,7 @@ class Unigram:
         starts, ends, bounds = pretokens(buf, offs)
         if not len(starts):
             return np.zeros(len(offs) - 1, np.int64), np.zeros(len(offs) - 1, np.int64)
-        code, own = pd.factorize(A.word_hashes(buf, starts, ends))
-        at = np.empty(len(own), np.int64)
-        at[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        code, at, own = A.distinct_spans(buf, starts, ends)
         s, e = starts[at], ends[at]
         place = self.known.index.get_indexer(own)
         value = np.where(place >= 0, self.known.to_numpy()[place] if len(self.known) else 0, 0)
@@ -163,7 +162,8 @@ class Unigram:
         if len(self.known) + len(short) > KEPT:
             self.known = self.known.iloc[:0]
         if len(short):
-            self.known = pd.concat([self.known, pd.Series(value[short], index=pd.Index(own[short]))])
+            more = pd.Series(value[short], index=pd.Index(own[short]))
+            self.known = pd.concat([self.known, more[~more.index.duplicated()]])
         return np.diff(bounds), A.sum_by_row(value[code], bounds)
 
 
@@ -172,7 +172,7 @@ SCHEMA = "doc_id long, n_pretokens long, n_tokens long"
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, scores: dict[bytes, float] | None = None) -> DataFrame:
     """One row per document: doc_id, n_pretokens, n_tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(scores or zipf(read_ranks(vocabulary)))  # the vocabulary, whatever the data
+    shared = docs.sparkSession.sparkContext.broadcast(checked(scores) if scores else zipf(read_ranks(vocabulary)))  # the vocabulary, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Unigram(shared.value)
