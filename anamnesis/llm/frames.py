@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,26 +19,27 @@ def texts(docs: DataFrame, lower: bool = True) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.lower(text) if lower else text).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset (local tests), a temporary one."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf is None:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
-        import tempfile
-
-        conf = tempfile.mkdtemp(prefix="anamnesis-")
-        spark.sparkContext.setCheckpointDir(conf)
-    return conf
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df through a Parquet table in the shared folder, which cuts its lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._written = path  # type: ignore[attr-defined]
+    return out
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete what no later step reads."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, which no later step reads."""
+    for t in tables:
+        removed(t.sparkSession, t._written)  # type: ignore[attr-defined]
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import arrays as A
-from .frames import parallelism, written
+from .frames import dropped, parallelism, written
 
 N = 5
 THRESHOLD = 0.5
@@ -57,6 +57,7 @@ BATCH = 1 << 21
 TILE = 1 << 11
 CHUNK = 1 << 22
 SIDE = LONG = 1 << 11
+MAX_BROADCAST = 1 << 20
 EPS = 1e-9
 
 
@@ -143,7 +144,8 @@ def incidence(docs: DataFrame, n: int, blocks: int) -> DataFrame:
             bounds = np.searchsorted(rows, np.arange(len(offs)))
             heads["n"] = np.diff(bounds)
             with np.errstate(over="ignore"):
-                heads["key"] = A.sum_by_row(A.mix(gram.copy()).view(np.int64), bounds)
+                total = A.sum_by_row(A.mix(gram.copy()).view(np.int64), bounds).view(np.uint64)
+                heads["key"] = A.mix(total + heads["n"].astype(np.uint64) * np.uint64(A.BASE)).view(np.int64)  # of the set, for its copies too
             held.append((heads, rows + count, gram))
             size, count = size + len(gram), count + len(heads)
             if size >= BATCH:
@@ -251,10 +253,11 @@ def columns(sets: DataFrame, blocks: int, threshold: float, long: int = LONG) ->
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            raw = b.column(2).to_pylist()
-            if not raw:
+            if not b.num_rows:
                 continue
+            ids, once = np.unique(b.column(0).to_numpy(), return_index=True)  # of copies one
+            n = b.column(1).to_numpy()[once]
+            raw = b.column(2).take(pa.array(once)).to_pylist()
             take = np.array([len(x) // 7 for x in raw]) - _least(n, threshold) + 1
             gram = unpack([x[: 7 * k] for x, k in zip(raw, take.tolist())])
             doc, size = np.repeat(ids, take), np.repeat(n.astype(np.int32), take)
@@ -273,8 +276,10 @@ def columns(sets: DataFrame, blocks: int, threshold: float, long: int = LONG) ->
         if not cols[0]:
             return
         doc, size, gram = np.frombuffer(b"".join(cols[0]), np.int64), np.frombuffer(b"".join(cols[1]), np.int32), unpack(cols[2])
-        order = np.lexsort((size, gram))
+        order = np.lexsort((doc, size, gram))
         doc, size, gram = doc[order], size[order], gram[order]
+        once = np.concatenate(([True], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])))  # copies of a set are equal here
+        doc, size, gram = doc[once], size[once], gram[once]
         begin = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         length = np.diff(begin, append=len(gram))
         home = np.minimum.reduceat(doc, begin)
@@ -313,7 +318,7 @@ def columns(sets: DataFrame, blocks: int, threshold: float, long: int = LONG) ->
         if out[0]:
             yield _batch(out, LISTS)
 
-    packed = sets.select("node", "n", "grams").mapInArrow(scatter, schema)
+    packed = sets.select(F.col("set_key").alias("node"), "n", "grams").mapInArrow(scatter, schema)
     return packed.repartitionById(blocks, "block").mapInArrow(gather, LISTS)
 
 
@@ -501,11 +506,14 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 LINKS = "node long, root long, links long, best double"
 
 
-def verify(cells: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def verify(cells: DataFrame, sets: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """By cell and set with a similar one: links (to documents, copies of the other set counted), the best similarity and a root that its cell's pairs lead to."""
-    need = cells.where("others IS NULL").select("cell", "node").distinct()
+    member = cells.where("others IS NULL").select("cell", "node").distinct()
+    need = written(member.join(reps, F.col("node") == F.col("set_key")).select("cell", "node", "copies", "r.batch", "r.place"), "need")
+    if need.count() <= MAX_BROADCAST:  # 40 bytes a row; beyond, a join by shuffle, which moves all sets
+        need = F.broadcast(need)
     none = F.lit(None)
-    rows = need.join(sets, "node").select("cell", "node", none.cast("binary").alias("others"), "n", "copies", "grams")
+    rows = sets.select("batch", "place", "n", "grams").join(need, ["batch", "place"]).select("cell", "node", none.cast("binary").alias("others"), "n", "copies", "grams")
     both = rows.union(cells.where("others IS NOT NULL").select("cell", "node", "others", none.cast("int"), none.cast("long"), none.cast("binary")))
 
     def judge(sets_: list, own_: list) -> pa.RecordBatch | None:
@@ -548,19 +556,16 @@ def verify(cells: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, LINKS)
 
 
-def folded(docs: DataFrame, n: int, threshold: float, side: int = SIDE) -> tuple[DataFrame, DataFrame]:
-    """Links of distinct sets by the set's representative (LINKS, a row for each cell), and the documents that may have any: node, doc_id, rep, copies; both written."""
+def folded(docs: DataFrame, n: int, threshold: float, side: int = SIDE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of sets (LINKS, a row for each cell), the sets (set_key, copies, r: the representative), and the documents that may have a link: node, doc_id, set_key."""
     blocks = parallelism(docs.sparkSession)
     alive = written(survivors(shared_grams(incidence(docs, n, blocks), blocks), threshold), "survivors")
-    narrow = alive.select("batch", "place", "node", "doc_id", "n", "set_key")
-    repeated = narrow.groupBy("set_key", "n").agg(F.min(F.struct("doc_id", "node", "batch", "place")).alias("r"), F.count_distinct("node").alias("copies"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    member = written(narrow.join(repeated, ["set_key", "n"], "left").select("batch", "place", "node", "doc_id", "r", "copies"), "members")
-    several = member.where("r IS NOT NULL")
-    role = several.select("batch", "place", F.when((F.col("r.batch") == F.col("batch")) & (F.col("r.place") == F.col("place")), F.col("copies")).otherwise(0).alias("copies"))
-    sets = alive.join(role, ["batch", "place"], "left").select("node", "n", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "grams").where("copies > 0")
-    cells = written(candidates(product(columns(sets, blocks, threshold, side), threshold), threshold, side), "cells")
-    links = written(verify(cells, sets, threshold), "links")
-    return links, member.select("node", "doc_id", F.coalesce("r.node", "node").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")).distinct()
+    member = alive.select("node", "doc_id", "set_key")
+    reps = written(alive.groupBy("set_key").agg(F.min(F.struct("doc_id", "node", "batch", "place")).alias("r"), F.count_distinct("node").alias("copies")), "sets")
+    cells = written(candidates(product(columns(alive, blocks, threshold, side), threshold), threshold, side), "cells")
+    links, member = written(verify(cells, alive, reps, threshold), "links"), written(member.distinct(), "members")
+    dropped(alive, cells)
+    return links, reps, member
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -569,31 +574,34 @@ def components(edges: DataFrame) -> DataFrame:
     Least labels spread over the edges and are then followed to their own labels, until none changes; each round is written.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"), "labels")
+    labels = held = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"), "labels")
     while True:
         spread = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near")).withColumnRenamed("a", "node")
         step = labels.join(spread, "node", "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
         new = written(step.join(jump, "next", "left").select("node", "root", F.least("next", F.coalesce("far", "next")).alias("next")), "labels")
         changed = not new.where("next <> root").isEmpty()
-        labels = new.select("node", F.col("next").alias("root"))
+        dropped(held)
+        labels, held = new.select("node", F.col("next").alias("root")), new
         if not changed:
+            dropped(both)
             return labels
 
 
 def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, side: int = SIDE) -> DataFrame:
     """(node, class_id, kept, n_links, max_jaccard) of every document that has a link; kept: it is the one of its class that stays."""
-    links, member = folded(docs, n, threshold, side)
-    counted = links.groupBy("node").agg(F.sum("links").alias("links"), F.max("best").alias("best")).withColumnRenamed("node", "rep")
-    roots = components(links.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))).withColumnRenamed("node", "rep")
-    own = member.join(counted, "rep", "left").join(roots, "rep", "left").where("copies > 1 OR links IS NOT NULL")
+    links, reps, member = folded(docs, n, threshold, side)
+    counted = links.groupBy("node").agg(F.sum("links").alias("links"), F.max("best").alias("best")).withColumnRenamed("node", "set_key")
+    roots = components(links.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))).withColumnRenamed("node", "set_key")
+    linked = reps.join(counted, "set_key", "left").join(roots, "set_key", "left").where("copies > 1 OR links IS NOT NULL")
     own = written(
-        own.select(
-            F.coalesce("root", "rep").alias("root"), "doc_id", "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        member.join(linked, "set_key").select(
+            F.coalesce("root", "set_key").alias("root"), "doc_id", "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             F.when(F.col("copies") > 1, 1.0).otherwise(F.col("best")).alias("max_jaccard"),
         ),
         "linked",
     )
+    dropped(links, reps, member)
     first = own.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first"))
     return own.join(first, "root").select("node", F.col("first.doc_id").alias("class_id"), (F.col("first.node") == F.col("node")).alias("kept"), "n_links", "max_jaccard")
 
