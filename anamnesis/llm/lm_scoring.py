@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import arrays as A
 from .decontamination import _WORD
-from .frames import parallelism, shared_dir, texts, written
+from .frames import dropped, parallelism, removed, shared_dir, texts, written
 
 MASS = 2.0
 SHARD = HOT = 1 << 19
@@ -335,10 +335,8 @@ def hot_contexts(rows: DataFrame, words: DataFrame, total: int, limit: int, dept
     """Contexts of more than limit occurrences.  One of m + 1 words is made of two of m words that are hot too, so each pass counts only few."""
     hot = Hot(total)
     found = words.where(F.col("n") > limit).collect()  # total / limit at most
-    power = A.U(A.powers(2)[0][1])
-    keys = np.array([r.h for r in found], np.int64).view(A.U) + A.U(1)
+    keys = np.array([r.h for r in found], np.int64).view(A.U) + A.U(1)  # as prefix hashes have a word
     hot.add(keys.view(np.int64).tolist(), [r.n for r in found])
-    del power
     while len(hot.levels[-1][0]) and len(hot.levels) < depth:
         m = len(hot.levels)
 
@@ -468,4 +466,7 @@ def lm_scores(docs: DataFrame, scored: DataFrame | None = None, shard: int = SHA
 
     # heads go through one group per file, not one for all
     found = rows.mapInArrow(spread, BLOBS).groupBy("shard", F.when(F.col("shard") < 0, F.col("name")).alias("head")).applyInArrow(search, BLOBS)
-    return found.groupBy("name").applyInArrow(gather, SCHEMA)
+    out = written(found.groupBy("name").applyInArrow(gather, SCHEMA), "lm-scores")
+    dropped(words)
+    removed(spark, folder)
+    return out
