@@ -6,7 +6,8 @@ set equality (an empty request: untagged rows only).  A null array counts as unt
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -80,6 +81,49 @@ class Not:
         return ~self.part.column()  # type: ignore[attr-defined]
 
 
+def wire_filter(tags: list[str], mode: str | int | None = None, groups: list | None = None) -> Column:
+    """A request's filter: tags in a mode (by name or number, ANY where unset) and trees, all of which must hold."""
+    name = MODES[mode] if isinstance(mode, int) else (mode or "any").lower()
+    return reduce(lambda a, b: a & b, (_tree_in(g).column() if isinstance(g, dict) else g.column() for g in groups or []), tag_filter(tags, name))
+
+
+def _tree_out(node) -> dict:  # type: ignore[no-untyped-def]
+    if isinstance(node, Leaf):
+        return {"tags": node.tags, "mode": node.mode}
+    if isinstance(node, Not):
+        return {"not": _tree_out(node.part)}
+    return {"all" if isinstance(node, All) else "any": [_tree_out(x) for x in node.parts]}
+
+
+def _tree_in(plain: dict):  # type: ignore[no-untyped-def]
+    if "tags" in plain:
+        return Leaf(plain["tags"], plain.get("mode", "any"))
+    if "not" in plain:
+        return Not(_tree_in(plain["not"]))
+    return All([_tree_in(x) for x in plain["all"]]) if "all" in plain else Any_([_tree_in(x) for x in plain["any"]])
+
+
+def cluster_may_match(tags: list[str], mode: str = "any") -> Column:
+    """What tags (a union) and has_untagged of a cluster must meet for it to hold a row that passes: needed, not enough."""
+    own, req = F.col("tags"), _array(tags)
+    if not tags:
+        return F.col("has_untagged") if mode == "exact" else F.lit(True)
+    hit = F.arrays_overlap(own, req) if mode in ("any", "any_strict") else F.size(F.array_except(req, own)) == 0
+    return hit if mode.endswith("strict") or mode == "exact" else F.col("has_untagged") | hit
+
+
+def cluster_may_be_updated(since: int | None, until: int | None) -> Column:
+    """The same for a window of updates (exclusive) over updated_from and updated_to; a cluster without any update time holds no such row."""
+    if since is None and until is None:
+        return F.lit(True)
+    out = F.col("updated_to").isNotNull()
+    if since is not None:
+        out &= F.col("updated_to") > since
+    if until is not None:
+        out &= F.col("updated_from") < until
+    return F.coalesce(out, F.lit(False))
+
+
 @dataclass(frozen=True)
 class Predicate:
     """AND of all that is set; the window's bounds are exclusive and a null updated_at fails a bound."""
@@ -92,6 +136,26 @@ class Predicate:
     updated_from: int | None = None
     updated_to: int | None = None
 
+    def to_json(self) -> str:
+        """As it stands in the log."""
+        plain = asdict(self) | {"groups": [_tree_out(g) for g in self.groups]}
+        return json.dumps({k: v for k, v in plain.items() if v not in ([], {}, None)}, sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str) -> Predicate:
+        plain = json.loads(text)
+        return cls(**plain | {"groups": [_tree_in(g) for g in plain.get("groups", [])]})
+
+    def summary(self) -> str:
+        """For a log listing."""
+        parts = [f"types={sorted(self.memory_types)}"] if self.memory_types else []
+        parts += [f"{k}={v}" for k, v in sorted(self.metadata_equals.items())]
+        parts += [f"tags {self.mode} {sorted(self.tags)}"] if self.tags or self.mode == "exact" else []
+        parts += [f"{len(self.groups)} tag groups"] if self.groups else []
+        parts += [f"updated_at > {self.updated_from}"] if self.updated_from is not None else []
+        parts += [f"updated_at < {self.updated_to}"] if self.updated_to is not None else []
+        return " and ".join(parts) or "everything"
+
     def is_empty(self) -> bool:
         return not (self.memory_types or self.metadata_equals or self.tags or self.mode == "exact" or self.groups or self.updated_from is not None or self.updated_to is not None)
 
