@@ -1,7 +1,8 @@
-"""Tokenisers as column expressions: the Latin word tokeniser, bigrams of CJK runs, and an optional English plural stemmer.
+"""Tokenisers as column expressions: Latin words, bigrams of CJK runs, the English stemmer.
 
-CJK runs give character bigrams (no dictionary is at hand offline); Latin words
-go to both fields when indexing and to ``words`` only when querying.
+Text is put in compatibility form and lower case.  Latin words go to both
+fields, ``words`` and ``bigrams``, when indexing and to ``words`` only when
+querying; CJK runs give character bigrams (no dictionary is at hand offline).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from .. import schema as S
+from .stem import stems
 
 _CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 
@@ -33,14 +35,33 @@ def without_stopwords(tokens: Column) -> Column:
 
 
 def plural_stem(t: Column) -> Column:
-    return F.when(t.endswith("ies") & (F.length(t) > 4), F.concat(F.expr("''"), F.regexp_replace(t, "ies$", "y"))).when(t.endswith("es") & (F.length(t) > 4), F.regexp_replace(t, "es$", "")).when(
-        t.endswith("s") & ~t.endswith("ss") & (F.length(t) > 3), F.regexp_replace(t, "s$", "")
-    ).otherwise(t)
+    """Strips plurals only: the tokeniser of the exact text baseline."""
+    return F.when(t.endswith("ies") & ~t.endswith("eies") & ~t.endswith("aies"), F.concat(F.substring(t, F.lit(1), F.length(t) - 3), F.lit("y"))).when(
+        t.endswith("es") & ~t.endswith("aes") & ~t.endswith("ees") & ~t.endswith("oes"), F.substring(t, F.lit(1), F.length(t) - 1)
+    ).when(t.endswith("s") & ~t.endswith("us") & ~t.endswith("ss"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
+
+
+def plain_tokens(text: Column) -> Column:
+    """Runs of two letters or digits or more of the lower-cased text, plurals stripped, without stopwords: the exact text baseline."""
+    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
+    kept = F.filter(runs, lambda t: (F.length(t) > 1) & ~t.isin(*S.STOPWORDS))
+    return F.transform(kept, plural_stem)
+
+
+def normalized(text: Column) -> Column:
+    """Compatibility form, which only texts beyond ASCII need."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.rlike("^[\\x00-\\x7f]*$"), text).otherwise(nfkc(text))
 
 
 def words(text: Column, stem: bool = False) -> Column:
     out = without_stopwords(latin_tokens(text))
-    return F.transform(out, plural_stem) if stem else out
+    return stems(out) if stem else out
+
+
+def script_runs(text: Column) -> Column:
+    """Maximal runs of Han, of Kana and Hangul, and of all else but white space."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\p{IsHan}+|[\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]+|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]+)"), 1)
 
 
 def char_bigrams(text: Column) -> Column:
@@ -53,6 +74,34 @@ def char_bigrams(text: Column) -> Column:
     return F.flatten(F.transform(runs, pairs))
 
 
-def query_terms(text: str, stem: bool = False) -> Column:
-    """Distinct terms of a query: a repeated word counts once."""
-    return F.array_sort(F.array_distinct(words(F.lit(text), stem)))
+def fields(text: Column, stem: bool = False) -> Column:
+    """(field, term) of a text to index: Latin words in both fields, bigrams in theirs."""
+    latin, pairs = words(text, stem), char_bigrams(F.lower(text))
+
+    def tag(name: str, terms: Column) -> Column:
+        return F.transform(terms, lambda t: F.struct(F.lit(name).alias("field"), t.alias("term")))
+
+    return F.concat(tag("words", latin), tag("bigrams", latin), tag("bigrams", pairs))
+
+
+def query_terms(text: str, stem: bool = False) -> list[tuple[str, str]]:
+    """Distinct (field, term) of a query, sorted: Latin words in ``words``, bigrams in theirs; a repeated word counts once."""
+    import re
+
+    from .stem import stem as stemmed
+
+    plain = unicodedata.normalize("NFKC", text).lower()
+    cjk = "\u2e80-\u2fdf\u3005\u3007\u3021-\u3029\u3038-\u303b\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\u31f0-\u31ff\u1100-\u11ff\u3130-\u318f\ua960-\ua97f\uac00-\ud7ff\U00020000-\U0003ffff"
+    latin = [t for t in re.split(r"[^\w]+", re.sub(f"[{cjk}]", " ", plain)) if t and t not in S.STOPWORDS]
+    out = {("words", stemmed(t) if stem else t) for t in latin}
+    for run in re.findall(f"[{cjk}]+", plain):
+        out |= {("bigrams", run[i : i + 2]) for i in range(max(1, len(run) - 1))}
+    return sorted(out)
+
+
+def config_hash(stem: bool, simplify: bool = False, version: int = 2) -> str:
+    """64-bit FNV-1a of the tokeniser's settings, which a namespace pins."""
+    h = 0xCBF29CE484222325
+    for b in f"v{version}:t2s={str(simplify).lower()}:stem={str(stem).lower()}".encode():
+        h = (h ^ b) * 0x100000001B3 & (1 << 64) - 1
+    return f"{h:016x}"
