@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.vector import cosine
 from .arms import dense, top
+from .blocks import unit
 
 TRAIN_ROWS = 50_000
 
@@ -41,12 +42,16 @@ def train(memories: DataFrame, k: int | None = None, seed: int = 7, iterations:
         centres.append(sample[rng.choice(len(sample), p=p)])
         near = np.minimum(near, ((sample - centres[-1]) ** 2).sum(1))
     c = np.array(centres)
-    for _ in range(iterations if len(sample) == n else 15):
+    for _ in range(iterations):
         own = nearest(sample, c)
         count = np.bincount(own, minlength=k)
         new = np.zeros_like(c)
         np.add.at(new, own, sample)
-        new = np.where(count[:, None] > 0, new / np.maximum(count, 1)[:, None], c)
+        new = new / np.maximum(count, 1)[:, None]
+        empty = np.flatnonzero(count == 0)
+        if len(empty):  # an empty cluster starts again at the rows that lie farthest from theirs
+            far = ((sample - c[own]) ** 2).sum(1)
+            new[empty] = sample[np.argsort(-far, kind="stable")[: len(empty)]]
         if np.allclose(new, c):
             break
         c = new
@@ -58,6 +63,18 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c**2).sum(1)[None] - 2 * x @ c.T).argmin(1)
 
 
+def local_split(assigned: DataFrame, centroids: np.ndarray, most: int, seed: int = 7) -> np.ndarray:
+    """Centroids with each of a cluster of more than ``most`` rows replaced by two of a sample of its rows; assign again with them."""
+    sizes = {r.cluster_id: r["count"] for r in assigned.where("cluster_id IS NOT NULL").groupBy("cluster_id").count().collect()}  # root of the rows
+    out = []
+    for k, c in enumerate(centroids):
+        if sizes.get(k, 0) > most:
+            out.extend(train(assigned.where(F.col("cluster_id") == k), 2, seed))
+        else:
+            out.append(c)
+    return np.array(out)
+
+
 def assign(memories: DataFrame, centroids: np.ndarray) -> DataFrame:
     """memories with cluster_id (null without vector)."""
     shared = memories.sparkSession.sparkContext.broadcast(centroids)  # root of TRAIN_ROWS rows at most
@@ -95,12 +112,7 @@ def cells(assigned: DataFrame, centroids: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "memory_type int, cluster_id int, radius double").groupBy("memory_type", "cluster_id").agg(F.max("radius").alias("radius"))
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    n = np.sqrt((x**2).sum(1, keepdims=True))
-    return x / np.where(n > 0, n, 1)
-
-
-def search_many(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+def search_many(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """Top k of every query (query_id, query) by type, exact; rows without vector are none of them.
 
     A row u of a cluster with centroid c and a query q, both of length 1, have q u = q c + q (u - c) <= q c + radius:
@@ -133,32 +145,17 @@ def search_many(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame,
     def scored(part: DataFrame) -> DataFrame:
         score = cosine(F.col("vector"), F.col("query"))
         read = part.join(rows, ["memory_type", "cluster_id"]).join(asked, "query_id")
-        return top(read.select("query_id", "id", "memory_type", (F.round(score, digits) if digits else score).alias("score")), k, ("query_id", "memory_type"))
+        return top(read.select("query_id", "id", "memory_type", (score if digits is None else F.round(score, digits)).alias("score")), k, ("query_id", "memory_type"))
 
     floor = scored(every.where(F.col("place") < FIRST)).where(F.col("rank") == k - 1).select("query_id", "memory_type", F.col("score").alias("floor"))
     open_ = every.join(floor, ["query_id", "memory_type"], "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - SLACK))
     return scored(open_.select("query_id", "memory_type", "cluster_id"))
 
 
-def search(assigned: DataFrame, centroids: np.ndarray, vector: list[float], k: int, nprobe: int = 0) -> DataFrame:
+def search(assigned: DataFrame, centroids: np.ndarray, vector: list[float], k: int, nprobe: int = 0, digits: int | None = None) -> DataFrame:
     """Top k by type: of nprobe nearest clusters, or (0) of all that the bound leaves; a table partitioned by cluster_id reads only those."""
     if not nprobe:
         one = assigned.sparkSession.createDataFrame([(0, [float(x) for x in vector])], "query_id long, query array<double>")
-        return search_many(assigned, centroids, one, k).drop("query_id")
+        return search_many(assigned, centroids, one, k, digits).drop("query_id")
     order = np.argsort(((centroids - np.array(vector)) ** 2).sum(1), kind="stable")[:nprobe]
-    return dense(assigned, vector, k, F.col("cluster_id").isin(*map(int, order)))
-
-
-def int8(memories: DataFrame) -> DataFrame:
-    """(id, low, step, code): affine 8-bit codes of the vectors, JVM-side."""
-    v = F.col("vector")
-    low, high = F.array_min(v), F.array_max(v)
-    step = F.when(high > low, (high - low) / 255.0).otherwise(1.0)
-    return memories.where(F.size("vector") > 0).select("id", low.alias("low"), step.alias("step"), F.transform(v, lambda x: F.rint((x - low) / step).cast("short")).alias("code"))
-
-
-def signs(memories: DataFrame) -> DataFrame:
-    """(id, norm, code): one bit a dimension, as a string of bits."""
-    from ..functions.vector import norm
-
-    return memories.where(F.size("vector") > 0).select("id", norm(F.col("vector")).alias("norm"), F.array_join(F.transform("vector", lambda x: F.when(x > 0, "1").otherwise("0")), "").alias("code"))
+    return dense(assigned, vector, k, F.col("cluster_id").isin(*map(int, order)), digits)
