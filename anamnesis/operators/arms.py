@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import schema as S
 from ..functions import scores as X
-from ..functions.text import words
+from ..functions.text import fields, normalized, words
 from ..functions.vector import cosine
+from . import blocks
 
 
 def top(df: DataFrame, k: int, keys: tuple[str, ...] = ("memory_type",)) -> DataFrame:
@@ -23,50 +25,114 @@ def check_dimension(memories: DataFrame, vector: list[float]) -> None:
         raise ValueError("vector dimensions differ")
 
 
-def dense(memories: DataFrame, vector: list[float], k: int = S.DEFAULT_DEPTH, predicate: Column | None = None, digits: int | None = 6) -> DataFrame:
-    """Exact cosine after the filter; rows without vector score 0."""
+def _rounded(score: Column, digits: int | None) -> Column:
+    return score if digits is None else F.round(score, digits)
+
+
+def dense(memories: DataFrame, vector: list[float], k: int = S.DEFAULT_DEPTH, predicate: Column | None = None, digits: int | None = None) -> DataFrame:
+    """Exact cosine after the filter; rows without vector score 0; a row of another dimension makes the query fail."""
     rows = memories if predicate is None else memories.where(predicate)
     score = cosine(F.col("vector"), F.array(*(F.lit(float(x)) for x in vector)))
-    return top(rows.select("id", "memory_type", (F.round(score, digits) if digits else score).alias("score")), k)
+    return top(rows.select("id", "memory_type", _rounded(score, digits).alias("score")), k)
 
 
-def dense_many(memories: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """Top k of every query (query_id, query) by type: a product of the two sides with a limit per group.
+def dense_many(memories: DataFrame, queries: DataFrame, k: int, digits: int | None = None, block: int = blocks.BLOCK) -> DataFrame:
+    """Top k of every query (query_id, query) by type: a product in blocks of both sides, k rows a query and cell; rows without vector are none of them."""
+    rows = memories.where(F.size("vector") > 0).select(F.col("memory_type").cast("int").alias("grp"), F.col("id").cast("long").alias("id"), F.lit(0).cast("long").alias("batch"), "vector")
+    types = [r.grp for r in rows.select("grp").distinct().collect()]  # few
+    asked = queries.where(F.size("query") > 0).select(F.explode(F.array(*map(F.lit, types)).cast("array<int>")).alias("grp"), F.col("query_id").cast("long").alias("id"), F.lit(0).cast("long").alias("batch"), F.col("query").alias("vector"))
 
-    The queries are the smaller side; Spark broadcasts them if they are small and joins in blocks otherwise.
-    """
-    pairs = memories.where(F.size("vector") > 0).select("id", "memory_type", "vector").crossJoin(queries.select("query_id", "query"))
-    scored = pairs.select("query_id", "id", "memory_type", F.round(cosine(F.col("vector"), F.col("query")), digits).alias("score"))
-    return top(scored, k, ("query_id", "memory_type"))
+    def pick(a, ba, b, bb, s):  # type: ignore[no-untyped-def]
+        s = blocks.rounded(s, digits)
+        i, j = blocks.best(s, b, np.ones(s.shape, bool), k)
+        return i, j, s[i, j]
 
+    found = blocks.product(asked, rows, pick, block)
+    return top(found.select(F.col("a").alias("query_id"), F.col("b").alias("id"), F.col("grp").alias("memory_type"), F.col("s").alias("score")), k, ("query_id", "memory_type"))
 
-def postings(memories: DataFrame, stem: bool = False) -> DataFrame:
-    """(memory_type, id, term, tf, dl) of the full text; index_text stands for text where it is not empty."""
-    text = F.col("text")
+
+def indexed_text(memories: DataFrame) -> Column:
+    """index_text stands for text where it is not empty."""
     if "index_text" in memories.columns:
-        text = F.when(F.length("index_text") > 0, F.col("index_text")).otherwise(text)
-    terms = memories.select("memory_type", "id", words(text, stem).alias("terms")).select("memory_type", "id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+        return F.when(F.length("index_text") > 0, F.col("index_text")).otherwise(F.col("text"))
+    return F.col("text")
+
+
+def postings(memories: DataFrame, stem: bool = False) -> DataFrame:
+    """(memory_type, id, term, tf, dl) of the full text."""
+    terms = memories.select("memory_type", "id", words(indexed_text(memories), stem).alias("terms")).select("memory_type", "id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
     return terms.groupBy("memory_type", "id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(memories: DataFrame, terms: list[str], k: int = S.DEFAULT_DEPTH, predicate: Column | None = None, k1: float = S.BM25_K1, b: float = S.BM25_B, digits: int = 6) -> DataFrame:
-    """Sum over the distinct terms; statistics of all live rows of the type, the filter before the limit.
+def text_totals(memories: DataFrame, stem: bool = False) -> DataFrame:
+    """(memory_type, n, total) of all rows: their number and that of their terms."""
+    terms = memories.select("memory_type", F.size(words(indexed_text(memories), stem)).alias("dl"))
+    return terms.groupBy("memory_type").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
+
 
-    Only the query's terms are kept of each text, before anything is shuffled.
+def bm25_from(postings_: DataFrame, totals: DataFrame, terms: list[str], k: int = S.DEFAULT_DEPTH, allowed: DataFrame | None = None, k1: float = S.BM25_K1, b: float = S.BM25_B, digits: int | None = None, repeats: bool = False) -> DataFrame:
+    """Sum over the distinct terms (or, with repeats, over all) from stored postings, of which only the terms' are read.
+
+    allowed: (memory_type, id) of the rows that pass the filter, which comes before the limit but after the statistics.
     """
-    wanted = sorted(set(terms))
-    docs = memories.select("memory_type", "id", words(F.col("text")).alias("w"), *([] if predicate is None else [F.coalesce(predicate, F.lit(False)).alias("ok")]))
-    stats = docs.groupBy("memory_type").agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("total"))
-    kept = docs.withColumn("dl", F.size("w")).withColumn("w", F.filter("w", lambda t: t.isin(*wanted))).where(F.size("w") > 0)
-    tf = kept.select("memory_type", "id", "dl", *([] if predicate is None else ["ok"]), F.explode("w").alias("term")).groupBy("memory_type", "id", "dl", "term", *([] if predicate is None else ["ok"])).agg(F.count("*").alias("tf"))
+    wanted = {t: terms.count(t) if repeats else 1 for t in terms}
+    c = F.col
+    tf = postings_.where(c("term").isin(list(wanted)))
     df = tf.groupBy("memory_type", "term").agg(F.count("*").alias("df"))
-    joined = tf.join(df, ["memory_type", "term"]).join(stats, "memory_type")
-    if predicate is not None:
-        joined = joined.where("ok")
+    stats = totals.groupBy("memory_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    joined = tf.join(F.broadcast(df), ["memory_type", "term"]).join(F.broadcast(stats), "memory_type")  # terms of a query times types
+    if allowed is not None:
+        joined = joined.join(allowed.select("memory_type", "id"), ["memory_type", "id"], "left_semi")
+    idf = F.log((c("n") - c("df") + 0.5) / (c("df") + 0.5) + 1)
+    part = idf * c("tf") * (k1 + 1) / (c("tf") + k1 * (1 - b + b * c("dl") / (c("total") / c("n"))))
+    if any(v > 1 for v in wanted.values()):
+        part = part * F.create_map(*(x for t, v in wanted.items() for x in (F.lit(t), F.lit(float(v)))))[c("term")]
+    return top(joined.groupBy("memory_type", "id").agg(_rounded(F.sum(part), digits).alias("score")), k)
+
+
+def bm25(memories: DataFrame, terms: list[str], k: int = S.DEFAULT_DEPTH, predicate: Column | None = None, k1: float = S.BM25_K1, b: float = S.BM25_B, digits: int | None = None, repeats: bool = False, stem: bool = False) -> DataFrame:
+    """The same over texts without stored postings, which are derived on the way."""
+    allowed = None if predicate is None else memories.where(predicate)
+    return bm25_from(postings(memories, stem), text_totals(memories, stem), terms, k, allowed, k1, b, digits, repeats)
+
+
+def _in_field(name: str):  # type: ignore[no-untyped-def]
+    return lambda x: x["field"] == name
+
+
+def field_postings(memories: DataFrame, stem: bool = False) -> DataFrame:
+    """(memory_type, id, field, term, tf, dl) of both fields, of the normalised text."""
+    rows = memories.select("memory_type", "id", fields(normalized(indexed_text(memories)), stem).alias("f"))
+    terms = rows.select("memory_type", "id", F.explode("f").alias("x"), *(F.size(F.filter("f", _in_field(n))).alias(n) for n in ("words", "bigrams")))
+    dl = F.when(F.col("x.field") == "words", F.col("words")).otherwise(F.col("bigrams"))
+    return terms.groupBy("memory_type", "id", F.col("x.field").alias("field"), F.col("x.term").alias("term"), dl.alias("dl")).agg(F.count("*").alias("tf"))
+
+
+def field_totals(memories: DataFrame, stem: bool = False) -> DataFrame:
+    """(memory_type, field, n, total): rows of the type, whether they have terms or not, and their terms in the field."""
+    rows = memories.select("memory_type", fields(normalized(indexed_text(memories)), stem).alias("f"))
+    size = rows.select("memory_type", F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.size(F.filter("f", _in_field(n))).alias("dl")) for n in ("words", "bigrams")))).alias("x"))
+    return size.groupBy("memory_type", F.col("x.field").alias("field")).agg(F.count("*").alias("n"), F.sum("x.dl").alias("total"))
+
+
+def bm25_fields(postings_: DataFrame, totals: DataFrame, query: list[tuple[str, str]], k: int = S.DEFAULT_DEPTH, allowed: DataFrame | None = None, k1: float = S.BM25_K1, b: float = S.BM25_B, digits: int | None = None) -> DataFrame:
+    """Sum over the query's (field, term) of each field's BM25, from postings of both fields."""
     c = F.col
+    by: dict[str, list[str]] = {}
+    for f, t in query:
+        by.setdefault(f, []).append(t)
+    hit = F.lit(False)
+    for f, ts in by.items():
+        hit = hit | ((c("field") == f) & c("term").isin(ts))
+    tf = postings_.where(hit)
+    df = tf.groupBy("memory_type", "field", "term").agg(F.count("*").alias("df"))
+    stats = totals.groupBy("memory_type", "field").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    joined = tf.join(F.broadcast(df), ["memory_type", "field", "term"]).join(F.broadcast(stats), ["memory_type", "field"])  # terms of a query times types
+    if allowed is not None:
+        joined = joined.join(allowed.select("memory_type", "id"), ["memory_type", "id"], "left_semi")
     idf = F.log((c("n") - c("df") + 0.5) / (c("df") + 0.5) + 1)
     part = idf * c("tf") * (k1 + 1) / (c("tf") + k1 * (1 - b + b * c("dl") / (c("total") / c("n"))))
-    return top(joined.groupBy("memory_type", "id").agg(F.round(F.sum(part), digits).alias("score")), k)
+    return top(joined.groupBy("memory_type", "id").agg(_rounded(F.sum(part), digits).alias("score")), k)
 
 
 def seeds_of(hits: DataFrame, floor: float = S.SEED_FLOOR) -> DataFrame:
@@ -109,42 +175,41 @@ def temporal_neighbours(memories: DataFrame, seeds: DataFrame, window: int = S.S
     return strided(near.select("memory_type", "seed", "id", "effective_ts"), ["memory_type", "seed"], cap).where("id <> seed").select("memory_type", "id", "seed")
 
 
-def graph(memories: DataFrame, edges: DataFrame, seeds: DataFrame, k: int = S.GRAPH_BUDGET, predicate: Column | None = None, digits: int = 6) -> DataFrame:
+def graph(memories: DataFrame, edges: DataFrame, seeds: DataFrame, k: int = S.GRAPH_BUDGET, predicate: Column | None = None, digits: int | None = None) -> DataFrame:
     """One hop from the seeds: entity, semantic, causal and temporal signals, summed; the tag filter after the limit."""
     ent = entity_expand(memories, seeds).select("memory_type", "id", X.entity_score(F.col("n")).alias("v"))
     edge = neighbours(edges, seeds).groupBy("memory_type", "id", "kind").agg(F.max("weight").alias("v")).select("memory_type", "id", "v")
     near = temporal_neighbours(memories, seeds).groupBy("memory_type", "id").agg(F.count("*").alias("n")).select("memory_type", "id", X.temporal_score(F.col("n")).alias("v"))
-    total = ent.union(edge).union(near).groupBy("memory_type", "id").agg(F.round(F.sum("v"), digits).alias("score"))
+    total = ent.union(edge).union(near).groupBy("memory_type", "id").agg(_rounded(F.sum("v"), digits).alias("score"))
     out = top(total.join(seeds.select("memory_type", "id"), ["memory_type", "id"], "left_anti"), k)
     if predicate is None:
         return out
     return out.join(memories.where(predicate).select("memory_type", "id"), ["memory_type", "id"], "left_semi")
 
 
-def entry_points(memories: DataFrame, vector: list[float], start: int, end: int, predicate: Column | None = None, digits: int = 6) -> DataFrame:
+def entry_points(memories: DataFrame, vector: list[float], start: int, end: int, predicate: Column | None = None, digits: int | None = None) -> DataFrame:
     """Rows of the window, evenly sampled, the nearest to the query spread over the window's buckets; score by date."""
     rows = memories.withColumn("effective_ts", X.effective_ts()).where(F.col("effective_ts").between(start, end))
     rows = strided(rows, ["memory_type"], S.WINDOW_CAP)
     if predicate is not None:
         rows = rows.where(predicate)
-    sim = F.round(cosine(F.col("vector"), F.array(*(F.lit(float(x)) for x in vector))), digits)
+    sim = _rounded(cosine(F.col("vector"), F.array(*(F.lit(float(x)) for x in vector))), digits)
     pool = top(rows.withColumn("score", sim), S.POOL).drop("rank")
     pool = pool.withColumn("b", X.bucket_of(F.col("effective_ts"), start, end)).withColumn("n", F.count("*").over(Window.partitionBy("memory_type")))
     tier = F.row_number().over(Window.partitionBy("memory_type", "b").orderBy(F.desc("score"), "id"))
     pool = pool.withColumn("tier", F.when(F.col("n") <= S.ENTRY_POINTS, 0).otherwise(tier))
     pick = F.row_number().over(Window.partitionBy("memory_type").orderBy("tier", F.desc("score"), "id"))
     date = F.coalesce(X.proximity(X.best_date(), start, end), F.lit(S.NO_DATE_ENTRY))
-    return pool.withColumn("pick", pick).where(F.col("pick") <= S.ENTRY_POINTS).select("memory_type", "id", F.round(date, digits).alias("score"))
+    return pool.withColumn("pick", pick).where(F.col("pick") <= S.ENTRY_POINTS).select("memory_type", "id", _rounded(date, digits).alias("score"))
 
 
-def temporal(memories: DataFrame, edges: DataFrame, vector: list[float], start: int, end: int, predicate: Column | None = None, digits: int = 6) -> DataFrame:
+def temporal(memories: DataFrame, edges: DataFrame, points: DataFrame, start: int, end: int, predicate: Column | None = None, digits: int | None = None) -> DataFrame:
     """Entry points and one hop over their links, in both directions; all results, ranked by score."""
-    points = entry_points(memories, vector, start, end, predicate, digits)
     rows = memories if predicate is None else memories.where(predicate)
     dated = rows.select("memory_type", "id", F.coalesce(X.proximity(X.best_date(), start, end), F.lit(S.NO_DATE_NEIGHBOUR)).alias("own"))
     near = neighbours(edges, points).join(dated, ["memory_type", "id"])
     score = X.propagate(F.col("own"), F.lit(1.0), F.col("weight"), X.causal_boost(F.col("link_type")))
-    spread = near.groupBy("memory_type", "id").agg(F.round(F.max(score), digits).alias("score")).join(points.select("memory_type", "id"), ["memory_type", "id"], "left_anti")
+    spread = near.groupBy("memory_type", "id").agg(_rounded(F.max(score), digits).alias("score")).join(points.select("memory_type", "id"), ["memory_type", "id"], "left_anti")
     w = Window.partitionBy("memory_type").orderBy(F.desc("score"), "id")
     return points.union(spread).withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
 

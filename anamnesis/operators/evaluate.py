@@ -36,3 +36,50 @@ def ann_recall(exact: DataFrame, approximate: DataFrame, k: int) -> DataFrame:
 def latency(samples: DataFrame, column: str) -> DataFrame:
     c = F.col(column)
     return samples.agg(F.avg(c).alias("mean"), *(F.percentile(c, F.lit(p)).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.99)), F.max(c).alias("max"))
+
+
+def exact_baseline(corpus: DataFrame, queries: DataFrame, terms: dict, k: int, k1: float = 0.9, b: float = 0.4) -> dict[str, DataFrame]:
+    """Ranked lists (qid, doc, rank) of every query by exact cosine and by BM25 over plain tokens, repeated query words counting again, and their fusion.
+
+    corpus: id, memory_type, text, vector; queries: query_id, query (the vector); terms: query_id -> its tokens.
+    """
+    from ..functions.scores import rrf_term
+    from ..functions.text import plain_tokens
+    from .arms import dense_many
+
+    spark = corpus.sparkSession
+    dense = dense_many(corpus, queries, k).select(F.col("query_id").alias("qid"), F.col("id").alias("doc"), "rank")
+    asked = spark.createDataFrame([(q, t, ts.count(t)) for q, ts in terms.items() for t in set(ts)], "qid long, term string, times int")
+    rows = corpus.select("id", plain_tokens(F.col("text")).alias("w"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg"))
+    tf = rows.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = tf.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")  # words of the queries
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    c = F.col
+    idf = F.log((c("n") - c("df") + 0.5) / (c("df") + 0.5) + 1)
+    part = c("times") * idf * c("tf") * (k1 + 1) / (c("tf") + k1 * (1 - b + b * c("dl") / c("avg")))
+    scored = tf.join(df, "term").join(asked, "term").join(F.broadcast(stats), F.lit(True)).groupBy("qid", "id").agg(F.sum(part).alias("score"))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    sparse = scored.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(c("rank") < k).select("qid", F.col("id").alias("doc"), "rank")
+    both = dense.union(sparse).groupBy("qid", "doc").agg(F.sum(rrf_term(c("rank"))).alias("score"))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc")
+    hybrid = both.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(c("rank") < k).select("qid", "doc", "rank")
+    return {"dense": dense, "sparse": sparse, "hybrid": hybrid}
+
+
+def replay(acked: list[tuple]) -> dict:
+    """What a log of acknowledged (seq, op_index, kind, id, value) must show: upserts and tombstones in order, by a plain loop."""
+    state: dict = {}
+    for _, _, kind, key, value in sorted(acked, key=lambda r: r[:2]):
+        if kind == "upsert":
+            state[key] = value
+        elif kind == "tombstone":
+            state.pop(key, None)
+    return state
+
+
+def divergence(view: DataFrame, acked: list[tuple], value: str) -> list:
+    """Ids on which a view and the replay of what was acknowledged differ."""
+    want = replay(acked)
+    got = {r.id: r[value] for r in view.select("id", value).collect()}
+    return sorted(k for k in want.keys() | got.keys() if (k in want) != (k in got) or want.get(k) != got.get(k))

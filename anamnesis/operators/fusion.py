@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import schema as S
 from ..functions.scores import rrf_term
+from .arms import _rounded
 
 
 def ranked(arms: dict[str, DataFrame], weights: dict[str, float] | None = None) -> DataFrame:
@@ -20,17 +21,17 @@ def ranked(arms: dict[str, DataFrame], weights: dict[str, float] | None = None)
     return rows
 
 
-def rrf(arms: dict[str, DataFrame], k: int, weights: dict[str, float] | None = None, digits: int = 9) -> DataFrame:
+def rrf(arms: dict[str, DataFrame], k: int, weights: dict[str, float] | None = None, digits: int | None = None) -> DataFrame:
     """Top k of each type by the sum of weight / (60 + rank + 1), then id."""
-    total = ranked(arms, weights).groupBy("memory_type", "id").agg(F.round(F.sum("part"), digits).alias("score"))
+    total = ranked(arms, weights).groupBy("memory_type", "id").agg(_rounded(F.sum("part"), digits).alias("score"))
     w = Window.partitionBy("memory_type").orderBy(F.desc("score"), "id")
     return total.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(F.col("rank") < k)
 
 
-def contributions(arms: dict[str, DataFrame], weights: dict[str, float] | None = None, digits: int = 9) -> DataFrame:
+def contributions(arms: dict[str, DataFrame], weights: dict[str, float] | None = None, digits: int | None = None) -> DataFrame:
     """What each arm adds to the fused score of a hit."""
     return ranked(arms, weights).groupBy("memory_type", "id").agg(
-        F.round(F.sum("part"), digits).alias("score"), F.map_from_entries(F.collect_list(F.struct("arm", F.round("part", digits)))).alias("parts")
+        _rounded(F.sum("part"), digits).alias("score"), F.map_from_entries(F.collect_list(F.struct("arm", _rounded(F.col("part"), digits)))).alias("parts")
     )
 
 

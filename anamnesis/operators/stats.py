@@ -19,6 +19,12 @@ def entity_stats(m: DataFrame, ids: list | None = None) -> DataFrame:
     return out.groupBy("entity").agg(F.count("*").alias("n"))
 
 
+def shared_entities(m: DataFrame, entities: list) -> DataFrame:
+    """(id, n): how many of the entities each row has."""
+    wanted = F.array(*map(F.lit, entities)).cast(m.schema["entity_ids"].dataType)
+    return m.select("id", F.size(F.array_intersect("entity_ids", wanted)).cast("long").alias("n"))
+
+
 def entity_link_total(m: DataFrame) -> DataFrame:
     """Sum over entities of min(n - 1, 10), for n > 1."""
     n = entity_stats(m).where("n > 1")
@@ -46,6 +52,7 @@ def temporal_links(m: DataFrame) -> DataFrame:
 
 
 def link_stats(edges: DataFrame) -> DataFrame:
+    """Links by kind, causal and semantic."""
     return edges.groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -67,6 +74,39 @@ def timeseries(m: DataFrame, field: str, unit: str = "day", since: int | None =
     return rows.groupBy(bucket.alias("bucket"), "memory_type").agg(F.count("*").alias("n"))
 
 
+def list_total(m: DataFrame, predicate: Column | None = None) -> DataFrame:
+    """The total of a filtered list, whatever its page."""
+    return (m if predicate is None else m.where(predicate)).agg(F.count("*").alias("total"))
+
+
+def timestamp_counts(m: DataFrame) -> DataFrame:
+    """(memory_type, ts, n): rows at each effective time."""
+    return m.select("memory_type", effective_ts().alias("ts")).where("ts IS NOT NULL").groupBy("memory_type", "ts").agg(F.count("*").alias("n"))
+
+
+def times_after(m: DataFrame, ts: int, most: int) -> DataFrame:
+    """The oldest rows at or after a time, most a type at most."""
+    w = Window.partitionBy("memory_type").orderBy("ts", "id")
+    rows = m.select("memory_type", "id", effective_ts().alias("ts")).where(F.col("ts") >= ts)
+    return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+
+
+def existing(m: DataFrame, ids: list) -> DataFrame:
+    """Which of the ids there are."""
+    return m.where(F.col("id").isin(*ids)).select("id")
+
+
+def names_like(registry: DataFrame, needle: str) -> DataFrame:
+    """Registry rows whose name holds the text, whatever its case; % and _ stand for themselves."""
+    plain = needle.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+    return registry.where(F.col("name").ilike(f"%{plain}%"))
+
+
+def trace_rollup(traces: DataFrame) -> DataFrame:
+    """Requests, errors and latency of traces (ts, namespace, op, ms, ok) by hour, namespace and kind."""
+    return traces.groupBy(F.date_format("ts", "yyyy-MM-dd-HH").alias("hour"), "namespace", "op").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("errors"), F.sum("ms").alias("total_ms"), F.max("ms").alias("max_ms"))
+
+
 def freshness(m: DataFrame) -> DataFrame:
     """Pending ("0") and failed ("2") rows and the last consolidation."""
     c = F.col("metadata")["consolidated"]
@@ -92,7 +132,11 @@ def any_since(m: DataFrame, ts: int) -> DataFrame:
 
 
 def search_text(m: DataFrame, needle: str) -> Column:
-    return F.contains(F.lower(F.col("text")), F.lit(needle.lower()))
+    """In the text or, where the metadata has one, the context."""
+    text = F.col("text")
+    if "metadata" in m.columns:
+        text = F.concat(text, F.lit(" "), F.coalesce(F.col("metadata")["context"], F.lit("")))
+    return F.contains(F.lower(text), F.lit(needle.lower()))
 
 
 def layout(assigned: DataFrame) -> DataFrame:

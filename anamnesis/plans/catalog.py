@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scores as X
-from ..operators import ann, arms, curation, evaluate, fusion, links, predicates as P, scan, stats
+from ..operators import ann, arms, codec, curation, evaluate, fusion, links, predicates as P, scan, stats
+from ..session import scratch
 from ..sources.fixtures import BASE, HOUR, MEMORIES_SQL, OPS_SQL, memories, oplog, query_vector, table
-from . import live
+from ..sources.log import Log
+from . import live, requests
+from .index import Index, held, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,7 +51,7 @@ FROM (SELECT id, memory_type, {SIM} AS s FROM m, q WHERE @where)) WHERE rnk < @k
 
 
 def dense(name: str, where: str, k: int, column: Callable | None = None) -> None:
-    query(name, DENSE.replace("@where", where).replace("@k", str(k)))(lambda s, d: arms.dense(memories(s, d), query_vector(s, d), k, column() if column else None))
+    query(name, DENSE.replace("@where", where).replace("@k", str(k)))(lambda s, d: arms.dense(memories(s, d), query_vector(s, d), k, column() if column else None, 6))
 
 
 dense("dense_topk_by_type", "true", 20)
@@ -63,16 +66,10 @@ dense("dense_tags_exact_empty", "len(tags) = 0", 20, lambda: P.tag_filter([], "e
 
 
 @query("dense_multi_query", _m("""SELECT query_id, id, memory_type, rnk::INT AS rank, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, memory_type ORDER BY s DESC, id) - 1 AS rnk
-FROM (SELECT vec_id AS query_id, id, memory_type, round(list_cosine_similarity(vector, embedding::DOUBLE[]), 6) AS s FROM m, embeddings WHERE vec_id < 20 AND vector IS NOT NULL)) WHERE rnk < 5"""))
-def _(s, d):
-    queries = table(s, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # twenty queries are the request
-    return arms.dense_many(memories(s, d), queries, 5)
-
-
-@query("dense_multi_query_all")
+FROM (SELECT vec_id AS query_id, id, memory_type, round(list_cosine_similarity(vector, embedding::DOUBLE[]), 6) AS s FROM m, embeddings WHERE vector IS NOT NULL)) WHERE rnk < 5"""))
 def _(s, d):
     queries = table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return arms.dense_many(memories(s, d), queries, 5)
+    return arms.dense_many(memories(s, d), queries, 5, 6)
 
 
 # --- predicates ------------------------------------------------------------
@@ -204,10 +201,6 @@ def _(s, d):
 
 # --- statistics ------------------------------------------------------------
 
-def shared_entities(m: DataFrame) -> DataFrame:
-    return m.select("id", F.size(F.array_intersect("entity_ids", F.array(*(F.lit(x).cast("long") for x in (0, 1, 100, 103, 200))))).cast("long").alias("n"))
-
-
 for _name, _f, _sql in (
     ("type_stats", stats.type_stats, "SELECT memory_type, count(*) AS doc_count FROM m GROUP BY 1"),
     ("entity_stats", stats.entity_stats, "SELECT entity, count(*) AS n FROM (SELECT unnest(entity_ids) AS entity FROM m) GROUP BY 1"),
@@ -215,7 +208,6 @@ for _name, _f, _sql in (
     ("entity_link_total", stats.entity_link_total, "SELECT sum(least(n - 1, 10))::BIGINT AS total FROM (SELECT entity, count(*) AS n FROM (SELECT unnest(entity_ids) AS entity FROM m) GROUP BY 1) WHERE n > 1"),
     ("metadata_stats", lambda m: stats.metadata_stats(m, "consolidated", ["document_id", "consolidated"]), "SELECT consolidated AS value, count(*) AS n FROM m GROUP BY 1"),
     ("metadata_stats_undeclared", lambda m: stats.metadata_stats(m, "src", ["document_id"]), "SELECT source AS value, count(*) AS n FROM m WHERE false GROUP BY 1"),
-    ("link_stats", lambda m: stats.link_stats(links.causal_edges(m)), "SELECT kind, count(*) AS n FROM causal GROUP BY 1"),
     ("temporal_link_count", stats.temporal_links, "SELECT sum(least(c - 1, 20))::BIGINT AS total FROM (SELECT count(*) OVER (ORDER BY effective_ts RANGE BETWEEN 86400000 PRECEDING AND 86400000 FOLLOWING) AS c FROM m WHERE effective_ts IS NOT NULL)"),
     ("tag_facet", stats.tag_facet, "SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM m) GROUP BY 1"),
     ("scope_counts", stats.scope_counts, "SELECT array_to_string(list_sort(tags), ',') AS scope, count(*) AS n FROM m GROUP BY 1"),
@@ -227,16 +219,11 @@ for _name, _f, _sql in (
     ("updated_since", lambda m: stats.any_since(m, BASE + 600_000), f"SELECT count(*) > 0 AS found FROM m WHERE updated_at > {BASE + 600_000}"),
     ("unconsolidated_queue", lambda m: curation.unconsolidated(m, 50, ["en"]).select("id"), "SELECT id FROM m WHERE consolidated = '0' AND updated_at IS NOT NULL AND (len(tags) = 0 OR list_has_all(tags, ['en'])) ORDER BY updated_at, id LIMIT 50"),
     ("failed_consolidation", lambda m: curation.failed(m).select("id"), "SELECT id FROM m WHERE consolidated = '2'"),
-    ("shared_entities", lambda m: shared_entities(m.where("id % 5 = 0")), "SELECT id, len(list_intersect(entity_ids, [0, 1, 100, 103, 200]))::BIGINT AS n FROM m WHERE id % 5 = 0"),
+    ("shared_entities", lambda m: stats.shared_entities(m, [0, 1, 100, 103, 200]), "SELECT id, len(list_intersect(entity_ids, [0, 1, 100, 103, 200]))::BIGINT AS n FROM m"),
 ):
     query(_name, _m(_sql))(lambda s, d, f=_f: f(memories(s, d)))
 
 
-@query("shared_entities_all")
-def _(s, d):
-    return shared_entities(memories(s, d))
-
-
 @query("orphan_entities", "SELECT c_custkey AS entity, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
 def _(s, d):
     registry = table(s, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_name").alias("name"))
@@ -251,8 +238,6 @@ def _(s, d):
 
 @query("event_range_counts", "SELECT user_id, max(c) AS busiest FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 24 HOUR FOLLOWING) AS c FROM events) GROUP BY 1")
 def _(s, d):
-    from pyspark.sql import Window
-
     day = 86_400_000_000
     w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-day, day)
     return table(s, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("c", F.count("*").over(w)).groupBy("user_id").agg(F.max("c").alias("busiest"))
@@ -275,12 +260,13 @@ BM_RANK = "SELECT memory_type, id, s AS score, rnk::INT AS rank FROM (SELECT bm.
 
 @query("bm25_topk", _m(TEXT) + BM_RANK % "")
 def _(s, d):
-    return arms.bm25(memories(s, d), TERMS, 20)
+    i = indexed(s, d)
+    return arms.bm25_from(i.table("postings"), i.table("totals"), TERMS, 20, digits=6)
 
 
 @query("bm25_tags", _m(TEXT) + BM_RANK % " JOIN m ON m.id = bm.id WHERE len(tags) > 0 AND list_has_any(tags, ['src1', 'src2', 'src3'])")
 def _(s, d):
-    return arms.bm25(memories(s, d), TERMS, 20, P.tag_filter(["src1", "src2", "src3"], "any_strict"))
+    return arms.bm25(memories(s, d), TERMS, 20, P.tag_filter(["src1", "src2", "src3"], "any_strict"), digits=6)
 
 
 @query("postings_df", _m(TEXT) + "SELECT memory_type, term, df FROM df")
@@ -311,24 +297,23 @@ grr AS (SELECT memory_type, id, s AS score, rnk::INT AS rank FROM (SELECT *, row
 """
 
 
-def edges_of(m: DataFrame) -> DataFrame:
-    return links.causal_edges(m).unionByName(links.semantic_edges(links.derive_links(m, LINK)))
+def indexed(s: SparkSession, d: str) -> Index:
+    """The stored index of the memories, built when a query first needs it."""
+    return stored(s, d, lambda: memories(s, d), LINK, 6)
 
 
 def seeds(s: SparkSession, d: str, m: DataFrame) -> DataFrame:
-    return arms.seeds_of(arms.dense(m, query_vector(s, d), 20), FLOOR)
+    return held(arms.seeds_of(arms.dense(m, query_vector(s, d), 20, digits=6), FLOOR))
 
 
 @query("knn_links", _m(KNN) + "SELECT * FROM ln")
 def _(s, d):
-    return links.derive_links(memories(s, d), LINK)
+    return links.derive_links(memories(s, d), LINK, digits=6)
 
 
 @query("near_duplicates", _m("SELECT a.id AS src, b.id AS dst, round(list_cosine_similarity(a.vector, b.vector), 6) AS s FROM m a JOIN m b ON a.id < b.id AND a.memory_type = b.memory_type WHERE a.vector IS NOT NULL AND b.vector IS NOT NULL AND round(list_cosine_similarity(a.vector, b.vector), 6) >= 0.3"))
 def _(s, d):
-    m = memories(s, d).where(F.size("vector") > 0)
-    a, b = m.select("memory_type", F.col("id").alias("src"), F.col("vector").alias("va")), m.select("memory_type", F.col("id").alias("dst"), F.col("vector").alias("vb"))
-    return a.join(b, "memory_type").where("src < dst").select("src", "dst", F.round(arms.cosine(F.col("va"), F.col("vb")), 6).alias("s")).where("s >= 0.3")
+    return links.similar(memories(s, d), 0.3, 6)
 
 
 @query("reverse_edges", _m("SELECT dst, count(*) AS n, string_agg(src::VARCHAR, ',' ORDER BY src::VARCHAR) AS sources FROM causal GROUP BY dst"))
@@ -342,16 +327,10 @@ def _(s, d):
     return links.prune_dangling(links.causal_edges(m), m.where(F.col("metadata")["consolidated"] != "2")).select("src", "dst")
 
 
-@query("direct_links", _m(KNN) + "SELECT src, dst, weight FROM edges WHERE kind = 'semantic' AND src < 200 AND dst < 200 ORDER BY src, dst LIMIT 10000")
+@query("direct_links", _m(KNN) + "SELECT src, dst, weight FROM edges WHERE kind = 'semantic' ORDER BY src, dst LIMIT 10000")
 def _(s, d):
-    m = memories(s, d)
-    return links.direct_links(links.semantic_edges(links.derive_links(m, LINK)), m.where("id < 200")).select("src", "dst", "weight")
-
-
-@query("direct_links_all")
-def _(s, d):
-    m = memories(s, d)
-    return links.direct_links(links.semantic_edges(links.derive_links(m, LINK)), m).select("src", "dst", "weight")
+    i = indexed(s, d)
+    return links.direct_links(i.edges.where("kind = 'semantic'"), i.memories).select("src", "dst", "weight")
 
 
 @query("entity_expand", _m(KNN + SEEDS) + "SELECT * FROM ent")
@@ -362,14 +341,16 @@ def _(s, d):
 
 @query("semantic_expand", _m(KNN + SEEDS) + "SELECT memory_type, id, max(weight) AS w FROM nb WHERE kind = 'semantic' GROUP BY ALL")
 def _(s, d):
-    m = memories(s, d)
-    return arms.neighbours(edges_of(m), seeds(s, d, m)).where("kind = 'semantic'").groupBy("memory_type", "id").agg(F.max("weight").alias("w"))
+    i = indexed(s, d)
+    seed = seeds(s, d, i.memories)
+    return arms.neighbours(i.edges_of(seed), seed).where("kind = 'semantic'").groupBy("memory_type", "id").agg(F.max("weight").alias("w"))
 
 
 @query("causal_expand", _m(KNN + SEEDS) + "SELECT memory_type, id, link_type, seed, weight FROM nb WHERE kind = 'causal'")
 def _(s, d):
-    m = memories(s, d)
-    return arms.neighbours(links.causal_edges(m), seeds(s, d, m)).select("memory_type", "id", "link_type", "seed", "weight")
+    i = indexed(s, d)
+    seed = seeds(s, d, i.memories)
+    return arms.neighbours(i.edges_of(seed), seed).where("kind = 'causal'").select("memory_type", "id", "link_type", "seed", "weight")
 
 
 @query("temporal_neighbours", _m(KNN + SEEDS) + "SELECT * FROM tn")
@@ -380,14 +361,16 @@ def _(s, d):
 
 @query("graph_arm", _m(KNN + SEEDS) + "SELECT * FROM grr")
 def _(s, d):
-    m = memories(s, d)
-    return arms.graph(m, edges_of(m), seeds(s, d, m))
+    i = indexed(s, d)
+    seed = seeds(s, d, i.memories)
+    return arms.graph(i.memories, i.edges_of(seed), seed, digits=6)
 
 
 @query("graph_arm_tags", _m(KNN + SEEDS) + "SELECT grr.* FROM grr JOIN m ON m.id = grr.id WHERE len(tags) = 0 OR list_has_any(tags, ['en'])")
 def _(s, d):
-    m = memories(s, d)
-    return arms.graph(m, edges_of(m), seeds(s, d, m), predicate=P.tag_filter(["en"], "any"))
+    i = indexed(s, d)
+    seed = seeds(s, d, i.memories)
+    return arms.graph(i.memories, i.edges_of(seed), seed, predicate=P.tag_filter(["en"], "any"), digits=6)
 
 
 # --- temporal --------------------------------------------------------------
@@ -411,13 +394,14 @@ tr AS (SELECT memory_type, id, score, (row_number() OVER (PARTITION BY memory_ty
 
 @query("temporal_entry_points", _m(TEMPORAL) + "SELECT * FROM ep")
 def _(s, d):
-    return arms.entry_points(memories(s, d), query_vector(s, d), FROM, TO)
+    return arms.entry_points(memories(s, d), query_vector(s, d), FROM, TO, digits=6)
 
 
 @query("temporal_arm", _m(KNN + TEMPORAL + SPREAD) + "SELECT * FROM tr")
 def _(s, d):
-    m = memories(s, d)
-    return arms.temporal(m, edges_of(m), query_vector(s, d), FROM, TO)
+    i = indexed(s, d)
+    points = held(arms.entry_points(i.memories, query_vector(s, d), FROM, TO, digits=6))
+    return arms.temporal(i.memories, i.edges_of(points), points, FROM, TO, digits=6)
 
 
 @query("temporal_stride_sample", _m(STRIDE % (40, 40, 40, 40)) + "SELECT memory_type, id, effective_ts FROM smp")
@@ -442,9 +426,14 @@ FUSED = "SELECT memory_type, id, score, rnk::INT AS rank FROM (SELECT *, row_num
 
 
 def arm_lists(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    m = memories(s, d)
-    q, e = query_vector(s, d), edges_of(m)
-    return {"dense": arms.dense(m, q, 20), "text": arms.bm25(m, TERMS, 20), "graph": arms.graph(m, e, seeds(s, d, m)), "temporal": arms.temporal(m, e, q, FROM, TO)}
+    i, q = indexed(s, d), query_vector(s, d)
+    m = i.memories
+    nearest = held(arms.dense(m, q, 20, digits=6))
+    seed, points = held(arms.seeds_of(nearest, FLOOR)), held(arms.entry_points(m, q, FROM, TO, digits=6))
+    return {
+        "dense": nearest, "text": arms.bm25_from(i.table("postings"), i.table("totals"), TERMS, 20, digits=6),
+        "graph": arms.graph(m, i.edges_of(seed), seed, digits=6), "temporal": arms.temporal(m, i.edges_of(points), points, FROM, TO, digits=6),
+    }
 
 
 @query("merge_arms", _m(ALL_SQL) + "SELECT memory_type, id, " + ", ".join(f"max(CASE WHEN arm = '{a}' THEN score END) AS {a}_score, max(CASE WHEN arm = '{a}' THEN rank END)::INT AS {a}_rank" for a in arms.ARMS) + " FROM al GROUP BY memory_type, id")
@@ -454,7 +443,7 @@ def _(s, d):
 
 @query("rrf", _m(ALL_SQL) + FUSED % ("1.0", ""))
 def _(s, d):
-    return fusion.rrf(arm_lists(s, d), 20)
+    return fusion.rrf(arm_lists(s, d), 20, digits=9)
 
 
 WEIGHTS = {"dense": 2.0, "text": 1.0, "graph": 0.5, "temporal": 0.0}
@@ -462,38 +451,32 @@ WEIGHTS = {"dense": 2.0, "text": 1.0, "graph": 0.5, "temporal": 0.0}
 
 @query("weighted_rrf", _m(ALL_SQL) + FUSED % ("CASE arm WHEN 'dense' THEN 2.0 WHEN 'text' THEN 1.0 ELSE 0.5 END", " WHERE arm <> 'temporal'"))
 def _(s, d):
-    return fusion.rrf({k: v for k, v in arm_lists(s, d).items()}, 20, WEIGHTS)
+    return fusion.rrf(arm_lists(s, d), 20, WEIGHTS, 9)
 
 
 @query("rrf_contributions", _m(ALL_SQL) + "SELECT memory_type, id, round(sum(1.0 / (60 + rank + 1)), 9) AS score, " + ", ".join(f"max(CASE WHEN arm = '{a}' THEN round(1.0 / (60 + rank + 1), 9) END) AS {a}" for a in arms.ARMS) + " FROM al GROUP BY memory_type, id")
 def _(s, d):
-    return fusion.contributions(arm_lists(s, d)).select("memory_type", "id", "score", *(F.col("parts")[a].alias(a) for a in arms.ARMS))
-
-
-@query("similarity_floors", _m(ALL_SQL) + "SELECT memory_type, id, dense_score, text_score FROM (SELECT memory_type, id, max(CASE WHEN arm = 'dense' THEN score END) AS dense_score, max(CASE WHEN arm = 'text' THEN score END) AS text_score FROM al WHERE arm IN ('dense', 'text') GROUP BY memory_type, id) WHERE dense_score >= 0.15 OR text_score >= 1.0")
-def _(s, d):
-    lists = arm_lists(s, d)
-    return arms.merge({k: lists[k] for k in ("dense", "text")}).where("dense_score >= 0.15 OR text_score >= 1.0").select("memory_type", "id", "dense_score", "text_score")
+    return fusion.contributions(arm_lists(s, d), digits=9).select("memory_type", "id", "score", *(F.col("parts")[a].alias(a) for a in arms.ARMS))
 
 
 # --- clustered search and evaluation ---------------------------------------
 
 RUN = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 run AS (SELECT * FROM (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY s DESC, doc) - 1 AS rank FROM (
-  SELECT a.vec_id AS qid, b.vec_id AS doc, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM e a JOIN e b ON a.vec_id < 25 AND a.vec_id <> b.vec_id)) WHERE rank < 20),
-qrels AS (SELECT a.vec_id AS qid, b.vec_id AS doc, 1 + (b.vec_id % 2) AS rel FROM e a JOIN e b ON a.label = b.label AND a.vec_id < 25 AND a.vec_id <> b.vec_id)
+  SELECT a.vec_id AS qid, b.vec_id AS doc, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id)) WHERE rank < 20),
+qrels AS (SELECT a.vec_id AS qid, b.vec_id AS doc, 1 + (b.vec_id % 2) AS rel FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id)
 """
 
 
-def run_and_qrels(s: SparkSession, d: str, which: str = "vec_id < 25") -> tuple[DataFrame, DataFrame]:
-    """The queries (25, as in the SQL, or others) against all vectors; rows of the same label are relevant."""
+def run_and_qrels(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every vector as a query against all others; rows of the same label are relevant."""
     e = table(s, d, "embeddings")
-    a = e.where(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("ql"))
-    pairs = a.crossJoin(e).where("query_id <> vec_id")
-    score = F.round(arms.cosine(F.col("embedding"), F.col("query")), 6)
-    run = arms.top(pairs.select("query_id", F.col("vec_id").alias("id"), score.alias("score")), 20, ("query_id",))
-    rel = pairs.where("ql = label").select(F.col("query_id").alias("qid"), F.col("vec_id").alias("doc"), (1 + F.col("vec_id") % 2).alias("rel"))
-    return run.select(F.col("query_id").alias("qid"), F.col("id").alias("doc"), "rank"), rel
+    rows = e.select(F.col("vec_id").alias("id"), F.lit(0).alias("memory_type"), F.col("embedding").alias("vector"))
+    near = arms.dense_many(rows, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 21, 6).where("query_id <> id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    run = near.select(F.col("query_id").alias("qid"), F.col("id").alias("doc"), (F.row_number().over(w) - 1).cast("int").alias("rank")).where("rank < 20")
+    a, b = e.select(F.col("vec_id").alias("qid"), "label"), e.select(F.col("vec_id").alias("doc"), "label")
+    return run, a.join(b, "label").where("qid <> doc").select("qid", "doc", (1 + F.col("doc") % 2).alias("rel"))
 
 
 @query("ndcg", RUN + """, best AS (SELECT qid, sum(rel / log2(r + 2)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, doc) - 1 AS r FROM qrels) WHERE r < 10 GROUP BY qid),
@@ -512,21 +495,6 @@ def _(s, d):
     return evaluate.mrr(*run_and_qrels(s, d), 10)
 
 
-@query("ndcg_all")
-def _(s, d):
-    return evaluate.ndcg(*run_and_qrels(s, d, "true"), 10)
-
-
-@query("recall_at_k_all")
-def _(s, d):
-    return evaluate.recall(*run_and_qrels(s, d, "true"), 20)
-
-
-@query("mrr_all")
-def _(s, d):
-    return evaluate.mrr(*run_and_qrels(s, d, "true"), 10)
-
-
 @query("latency_stats", "SELECT round(avg(value), 6) AS mean, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.99) AS p99, max(value) AS max FROM events")
 def _(s, d):
     return evaluate.latency(table(s, d, "events"), "value").withColumn("mean", F.round("mean", 6))
@@ -539,8 +507,8 @@ def _(s, d):
     queries = table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # every row is a query
     names = (F.col("query_id").alias("qid"), F.concat_ws("-", "memory_type", "id").alias("doc"), "rank")
     rows = ann.assign(m, c)
-    exact = arms.dense_many(m, queries, 10).select(*names)
-    parts = [ann.search_many(rows, c, queries, 10).select(*names), arms.dense_many(rows.where("cluster_id IS NOT NULL"), queries, 10).select(*names)]
+    exact = arms.dense_many(m, queries, 10, 6).select(*names)
+    parts = [ann.search_many(rows, c, queries, 10, 6).select(*names), arms.dense_many(rows.where("cluster_id IS NOT NULL"), queries, 10, 6).select(*names)]
     return evaluate.ann_recall(exact, parts[0], 10).withColumn("nprobe", F.lit("auto")).union(evaluate.ann_recall(exact, parts[1], 10).withColumn("nprobe", F.lit("all")))
 
 
@@ -550,17 +518,248 @@ def _(s, d):
     return stats.layout(ann.assign(m, ann.train(m)))
 
 
-@query("stream_fold", OPS_SQL + LWW % "")
-def _(s, d):
-    """The log as files, folded by a streaming query in the shared folder; equal to the batch fold."""
-    import tempfile
-    import uuid
+PREDICATE = P.Predicate(metadata_equals={"k": "7"})
+AFTER = PATCHES % ("", "") + """, early AS (SELECT id, max(n) AS at FROM ops WHERE kind <> 'patch' AND seq <= 400 GROUP BY id),
+e0 AS (SELECT o.id, o.n, o.k FROM early b JOIN ops o ON o.id = b.id AND o.n = b.at WHERE o.kind = 'upsert' AND o.seq < 400),
+gone AS (SELECT e0.id, e0.n FROM e0 LEFT JOIN ops c ON c.id = e0.id AND c.n > e0.n AND c.seq <= 400 AND c.event_type = 'click' GROUP BY e0.id, e0.n, e0.k HAVING coalesce(arg_max(c.k, c.n), e0.k) = '7')
+SELECT r.* FROM rows_ r JOIN cur USING (id) WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.id = r.id AND gone.n = cur.at)"""
+
 
-    from ..streaming.fold import fold, view
+def logged(s: SparkSession, d: str) -> DataFrame:
+    """The operations and a predicate delete at 400 among them."""
+    log = _records(oplog(s, d)).withColumn("predicate", F.lit(None).cast("string"))
+    delete = s.createDataFrame([(400, 99, "tombstone_where", PREDICATE.to_json())], "seq long, op_index int, kind string, predicate string")
+    return log.unionByName(delete, allowMissingColumns=True)
 
-    shared = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="anamnesis-")
-    root = f"{shared}/fold-{uuid.uuid4().hex}"
-    log = oplog(s, d).select("seq", "op_index", "kind", "id", "value", F.col("metadata")["k"].alias("k"))
+
+def unrecorded(df: DataFrame) -> DataFrame:
+    return folded(df.withColumn("value", F.col("metadata")["value"].cast("double")))
+
+
+@query("stream_fold", OPS_SQL + AFTER)
+def _(s, d):
+    """The log as files, folded by a streaming query in the shared folder, compacted half way: patches and predicate deletes as in a batch fold."""
+    from ..streaming.fold import compact, fold, view
+
+    root = scratch(s, "fold")
+    log = logged(s, d)
     log.repartitionByRange(4, "seq").write.parquet(f"{root}/log")
-    fold(s, f"{root}/log", log.schema, f"{root}/state", f"{root}/checkpoint", 1).awaitTermination()
-    return view(s, f"{root}/state").select("id", "write_seq", "value", "k")
+    early = s.read.parquet(f"{root}/log").where("seq <= 300")
+    early.repartition(1).write.parquet(f"{root}/source")
+    fold(s, f"{root}/source", log.schema, f"{root}/state", f"{root}/checkpoint", 1).awaitTermination()
+    compact(s, f"{root}/state")
+    s.read.parquet(f"{root}/log").where("seq > 300").repartitionByRange(3, "seq").write.mode("append").parquet(f"{root}/source")
+    fold(s, f"{root}/source", log.schema, f"{root}/state", f"{root}/checkpoint", 1).awaitTermination()
+    return unrecorded(view(s, f"{root}/state"))
+
+
+@query("with_tail", OPS_SQL + AFTER)
+def _(s, d):
+    """Rows folded through 350, read with the tail that isn't folded yet."""
+    log = logged(s, d)
+    rows = live.live(log.where("seq <= 350"))
+    return unrecorded(live.with_tail(rows, log.where("seq > 350")))
+
+
+def import_entry(log: Log, ops: DataFrame, seq: int) -> None:
+    """Operations with their own seqs as one entry."""
+    tmp = f"{log.path}/_tmp-{seq}"
+    ops.write.parquet(tmp)
+    log.files.rename(tmp, f"{log.path}/wal/{seq:020d}")
+
+
+def log_of(s: SparkSession, d: str) -> Log:
+    """The operations in a log of a few entries (each holds a range of seqs), folded between them in all ways."""
+    log = Log(s, scratch(s, "logs"), "bank")
+    log.create(("k",))
+    held = scratch(s, "ops")
+    logged(s, d).write.parquet(held)
+    ops = s.read.parquet(held)
+    for low, high in ((0, 350), (350, 380), (380, 395), (395, 401)):
+        import_entry(log, ops.where(f"seq > {low} AND seq <= {high}"), high)
+        log.fold()
+    import_entry(log, ops.where("seq > 401"), 1 << 40)
+    return log
+
+
+@query("log_folds", OPS_SQL + AFTER)
+def _(s, d):
+    """A full fold, flushes and a compaction, then the tail on top."""
+    return unrecorded(log_of(s, d).view())
+
+
+@query("optimize", OPS_SQL + AFTER)
+def _(s, d):
+    """Everything folded into rows, which the log is then read from."""
+    log = log_of(s, d)
+    log.optimize()
+    return unrecorded(log.view())
+
+
+@query("log_squash", OPS_SQL + "SELECT kind, count(*) AS n FROM (SELECT *, max(CASE WHEN kind <> 'patch' THEN n END) OVER (PARTITION BY id) AS reset FROM ops) WHERE reset IS NULL OR n >= reset GROUP BY kind UNION ALL SELECT 'tombstone_where', 1")
+def _(s, d):
+    return live.squash(logged(s, d)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# --- text fields -------------------------------------------------------------
+
+
+def with_index_text(m: DataFrame) -> DataFrame:
+    return m.withColumn("index_text", F.when(F.col("id") % 3 == 0, F.concat("text", F.lit(" license "), F.col("metadata")["src"])).otherwise(F.lit("")))
+
+
+@query("bm25_index_text", _m(TEXT.replace("lower(text)", "lower(CASE WHEN id % 3 = 0 THEN text || ' license ' || coalesce(source, 'none') ELSE text END)")) + BM_RANK % "")
+def _(s, d):
+    return arms.bm25(with_index_text(memories(s, d)), TERMS, 20, digits=6)
+
+
+@query("bm25_stemmed")
+def _(s, d):
+    from ..functions.text import query_terms
+
+    m = memories(s, d)
+    terms = [t for f, t in query_terms("Licenses licensed running the ertions", stem=True) if f == "words"]
+    return arms.bm25(m, terms, 20, digits=6, stem=True)
+
+
+@query("bm25_fields")
+def _(s, d):
+    from ..functions.text import query_terms
+
+    m = memories(s, d)
+    return arms.bm25_fields(arms.field_postings(m), arms.field_totals(m), query_terms("license ertion 使用 ing"), 20, digits=6)
+
+
+# --- whole requests ----------------------------------------------------------
+
+FULL = ALL_SQL + ", hit AS (SELECT memory_type, id, " + ", ".join(f"max(CASE WHEN arm = '{a}' THEN score END) AS {a}_score, max(CASE WHEN arm = '{a}' THEN rank END)::INT AS {a}_rank" for a in arms.ARMS) + " FROM al GROUP BY memory_type, id)"
+
+
+def request(s: SparkSession, d: str, **more) -> requests.Request:  # type: ignore[no-untyped-def]
+    own = {"dense_depth": 20, "text_depth": 20, "graph_depth": 50, "seed_floor": FLOOR, "digits": 6}
+    return requests.Request(query_vector(s, d), " ".join(TERMS), start=FROM, end=TO, **own | more)
+
+
+@query("hydrated_query", _m(FULL) + "SELECT hit.*, text, proof_count, updated_at FROM hit JOIN m USING (memory_type, id)")
+def _(s, d):
+    found = requests.run(indexed(s, d), request(s, d))
+    return found.select("memory_type", "id", *(f"{a}_{v}" for a in arms.ARMS for v in ("score", "rank")), "text", "proof_count", "updated_at")
+
+
+@query("similarity_floors", _m(FULL) + "SELECT memory_type, id, dense_score, text_score, temporal_score FROM hit WHERE dense_score >= 0.15 OR text_score >= 1.0 OR graph_score IS NOT NULL OR (temporal_score IS NOT NULL AND (dense_score IS NULL OR dense_score >= 0.1))")
+def _(s, d):
+    merged = arms.merge(arm_lists(s, d))
+    return requests.with_floors(merged, 0.15, 1.0, 0.1).select("memory_type", "id", "dense_score", "text_score", "temporal_score")
+
+
+@query("search_call", _m(TEXT + f""", dn AS (SELECT id, memory_type, s, row_number() OVER (PARTITION BY memory_type ORDER BY s DESC, id) - 1 AS rnk FROM (SELECT id, memory_type, {SIM} AS s FROM m, q)),
+br AS (SELECT memory_type, id, s, row_number() OVER (PARTITION BY memory_type ORDER BY s DESC, id) - 1 AS rnk FROM bm)
+SELECT 'dense' AS list, memory_type, id, rnk::INT AS rank, s AS score FROM dn WHERE rnk < 10 AND s >= 0.1 AND memory_type IN (1, 2)
+UNION ALL SELECT 'text', memory_type, id, rnk::INT, s FROM br WHERE rnk < 10 AND s >= 0.5 AND memory_type IN (1, 2)"""))
+def _(s, d):
+    return requests.search(indexed(s, d), query_vector(s, d), " ".join(TERMS), 10, [1, 2], 0.1, 0.5, digits=6)
+
+
+@query("temporal_search_call", _m(KNN + TEMPORAL + SPREAD + f""", dn AS (SELECT id, memory_type, s, row_number() OVER (PARTITION BY memory_type ORDER BY s DESC, id) - 1 AS rnk FROM (SELECT id, memory_type, {SIM} AS s FROM m, q)),
+kept AS (SELECT * FROM tr WHERE NOT EXISTS (SELECT 1 FROM dn WHERE dn.id = tr.id AND dn.memory_type = tr.memory_type AND rnk < 100 AND s < 0.1))
+SELECT memory_type, id, score, r::INT AS rank FROM (SELECT memory_type, id, score, row_number() OVER (PARTITION BY memory_type ORDER BY score DESC, id) - 1 AS r FROM kept) WHERE r < 10"""))
+def _(s, d):
+    return requests.temporal_search(indexed(s, d), query_vector(s, d), FROM, TO, 10, [], 0.1, 6)
+
+
+# --- compressed vectors and clusters -----------------------------------------
+
+STAGES = _m(f"""SELECT id, memory_type, rnk::INT AS rank, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY memory_type ORDER BY s DESC, id) - 1 AS rnk
+FROM (SELECT id, memory_type, {SIM} AS s FROM m, q WHERE vector IS NOT NULL)) WHERE rnk < 20""")
+
+
+def clustered(s: SparkSession, d: str):  # type: ignore[no-untyped-def]
+    m = memories(s, d).where("vector IS NOT NULL").select("id", "memory_type", "vector", "tags", "updated_at")
+    c = ann.train(m)
+    return ann.assign(m, c), c
+
+
+for _kind in ("int8", "binary"):
+
+    @query(f"two_stage_{_kind}", STAGES)
+    def _(s, d, kind=_kind):
+        rows, c = clustered(s, d)
+        return codec.two_stage(rows, codec.encoded(rows, c, kind), c, query_vector(s, d), 20, kind, digits=6)
+
+
+@query("clustered_search", STAGES)
+def _(s, d):
+    rows, c = clustered(s, d)
+    q = s.createDataFrame([(0, [float(x) for x in query_vector(s, d)])], "query_id long, query array<double>")
+    return ann.search_many(rows, c, q, 20, 6).drop("query_id")
+
+
+@query("cluster_pruning", _m("SELECT count(*) AS n FROM m WHERE vector IS NOT NULL AND len(tags) > 0 AND list_has_all(tags, ['en', 'src3']) AND updated_at > " + f"{BASE + 6_000_000}"))
+def _(s, d):
+    """No row that passes lies in a cluster that the summaries leave out."""
+    rows, _c = clustered(s, d)
+    kept = stats.layout(rows).where(P.cluster_may_match(["en", "src3"], "all_strict") & P.cluster_may_be_updated(BASE + 6_000_000, None)).select("memory_type", "cluster_id")
+    own = rows.join(F.broadcast(kept), ["memory_type", "cluster_id"], "left_semi")  # types times the root of the rows
+    return own.where(P.Predicate(tags=["en", "src3"], mode="all_strict", updated_from=BASE + 6_000_000).column()).agg(F.count("*").alias("n"))
+
+
+@query("merge_hits", _m("SELECT memory_type, id, max(s) AS score FROM (SELECT id, memory_type, round(list_cosine_similarity(vector, embedding::DOUBLE[]), 6) AS s FROM m, embeddings WHERE vector IS NOT NULL AND vec_id IN (0, 1)) GROUP BY ALL"))
+def _(s, d):
+    m = memories(s, d).where("vector IS NOT NULL")
+    one = lambda v: m.select("memory_type", "id", F.round(arms.cosine(F.col("vector"), F.array(*map(F.lit, query_vector(s, d, v)))), 6).alias("score"))
+    return codec.merge_hits(one(0), one(1))
+
+
+# --- further reads and statistics --------------------------------------------
+
+for _name, _f, _sql in (
+    ("timestamp_counts", stats.timestamp_counts, "SELECT memory_type, effective_ts AS ts, count(*) AS n FROM m WHERE effective_ts IS NOT NULL GROUP BY ALL"),
+    ("times_after", lambda m: stats.times_after(m, FROM, 25), f"SELECT memory_type, id, ts FROM (SELECT memory_type, id, effective_ts AS ts, row_number() OVER (PARTITION BY memory_type ORDER BY effective_ts, id) AS r FROM m WHERE effective_ts >= {FROM}) WHERE r <= 25"),
+    ("existing_ids", lambda m: stats.existing(m, [1, 5, 999_999_999]), "SELECT id FROM m WHERE id IN (1, 5, 999999999)"),
+    ("list_total", lambda m: stats.list_total(m, P.tag_filter(["en"], "any_strict")), "SELECT count(*) AS total FROM m WHERE list_has_any(tags, ['en'])"),
+    ("list_units", lambda m: curation.list_units(m, 40, 10, "failed").select("id", "memory_type", "updated_at", "state"), "SELECT id, memory_type, updated_at, 'failed' AS state FROM m WHERE consolidated = '2' ORDER BY updated_at DESC NULLS LAST, id LIMIT 40 OFFSET 10"),
+    ("graph_entity_rows", lambda m: curation.graph_entity_rows(curation.graph_units(m, 100)), "SELECT id, unnest(entity_ids) AS entity FROM (SELECT * FROM m ORDER BY id LIMIT 100)"),
+    ("inherited_entities", lambda m: curation.inherited_entities(m, m.select(F.floor(F.col("id") / 10).alias("id"), (F.col("id") * 7 % 10).alias("pos"), F.col("id").alias("source"))).select("id", F.array_join("entity_ids", ",").alias("entities")),
+     "SELECT id, string_agg(e::VARCHAR, ',' ORDER BY pos) AS entities FROM (SELECT id, e, min(pos * 1000 + i) AS pos FROM (SELECT id // 10 AS id, id * 7 % 10 AS pos, unnest(entity_ids) AS e, generate_subscripts(entity_ids, 1) AS i FROM m) GROUP BY id, e) GROUP BY id"),
+):
+    query(_name, _m(_sql))(lambda s, d, f=_f: f(memories(s, d)))
+
+
+@query("link_stats", _m(KNN) + "SELECT kind, count(*) AS n FROM edges GROUP BY 1")
+def _(s, d):
+    return stats.link_stats(indexed(s, d).edges)
+
+
+@query("names_like", "SELECT c_custkey AS entity, c_name AS name FROM customer WHERE c_name ILIKE '%CUSTOMER#%' AND contains(c_name, '1')")
+def _(s, d):
+    registry = table(s, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_name").alias("name"))
+    return stats.names_like(stats.names_like(registry, "CUSTOMER#"), "1")
+
+
+@query("trace_rollup", "SELECT strftime(ts, '%Y-%m-%d-%H') AS hour, (user_id % 3)::VARCHAR AS namespace, event_type AS op, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 4) AS total_ms, max(value) AS max_ms FROM events GROUP BY ALL")
+def _(s, d):
+    e = table(s, d, "events")
+    traces = e.select("ts", (F.col("user_id") % 3).cast("string").alias("namespace"), F.col("event_type").alias("op"), F.col("value").alias("ms"), (F.col("event_type") != "error").alias("ok"))
+    return stats.trace_rollup(traces).withColumn("total_ms", F.round("total_ms", 4))
+
+
+@query("curation_log", _m("""SELECT id, CASE WHEN id % 10 = 1 THEN 'rewritten' ELSE text END AS text, CASE WHEN id % 10 = 1 THEN 9 WHEN id % 10 = 2 THEN 8 ELSE updated_at END AS updated_at,
+CASE WHEN id % 10 = 1 THEN '0' ELSE consolidated END AS consolidated, proof_count + CASE WHEN id % 10 = 2 THEN 3 ELSE 0 END AS proof_count,
+array_to_string(list_sort(list_distinct(CASE WHEN id % 10 = 4 THEN list_append(entity_ids, 777) ELSE entity_ids END)), ',') AS entities,
+CASE WHEN id % 10 = 1 THEN 3 WHEN id % 10 = 4 THEN 2 ELSE 1 END AS write_seq FROM m WHERE id % 10 <> 5 AND document_id <> 'd7'"""))
+def _(s, d):
+    """Facts inserted, entities recorded, rows edited, patched, deleted by id and by document, then folded."""
+    m = memories(s, d).drop("batch")
+    live_ = m.withColumn("write_seq", F.lit(1).cast("long"))
+    key = F.col("id") % 10
+    parts = [
+        curation.insert_facts(m), curation.record_entities(live_, m.where(key == 4).select("id", F.lit(777).alias("entity"))),
+        curation.apply_edit(live_, key == 1, "rewritten", None, 9), curation.updates(m.where(key == 2).select("id", F.lit(3).cast("long").alias("proof_delta")), 8),
+        curation.tombstones(m.where(key == 5)), curation.delete_document(s, "d7"),
+    ]
+    log = None
+    for n, part in enumerate(parts):
+        entry = part.withColumn("seq", F.lit(n + 1).cast("long")).withColumn("op_index", F.lit(0))
+        log = entry if log is None else log.unionByName(entry, allowMissingColumns=True)
+    out = live.live(log)
+    return out.select("id", "text", "updated_at", F.col("metadata")["consolidated"].alias("consolidated"), "proof_count", F.array_join("entity_ids", ",").alias("entities"), "write_seq")
