@@ -22,6 +22,6 @@ def test_bound_leaves_clusters_out_and_misses_nothing(spark):
     c = ann.train(m)
     q = m.select("id", "vector").toDF("query_id", "query")
     key = lambda r: (r.query_id, r.memory_type, r["rank"], r.id, r.score)
-    assert sorted(map(key, ann.search_many(ann.assign(m, c), c, q, 5).collect())) == sorted(map(key, arms.dense_many(m, q, 5).collect()))
-    one = [(r.id, r["rank"], r.score) for r in ann.search(ann.assign(m, c), c, list(x[3]), 5).collect()]
-    assert sorted(one) == sorted((r.id, r["rank"], r.score) for r in arms.dense(m, list(x[3]), 5).collect())
+    assert sorted(map(key, ann.search_many(ann.assign(m, c), c, q, 5, 6).collect())) == sorted(map(key, arms.dense_many(m, q, 5, 6).collect()))
+    one = [(r.id, r["rank"], r.score) for r in ann.search(ann.assign(m, c), c, list(x[3]), 5, digits=6).collect()]
+    assert sorted(one) == sorted((r.id, r["rank"], r.score) for r in arms.dense(m, list(x[3]), 5, digits=6).collect())
