@@ -615,7 +615,9 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, side:
 
 def without_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, that of the smallest doc_id; rows with a null doc_id and rows without partner stay."""
-    gone = classes(docs, n, threshold).where("NOT kept").select(F.col("node").alias("__gone"))
+    gone = written(classes(docs, n, threshold).where("NOT kept").select(F.col("node").alias("__gone")), "gone")
+    if gone.count() <= MAX_BROADCAST:  # 8 bytes a row; beyond, the documents are shuffled
+        gone = F.broadcast(gone)
     return docs.join(gone, node_of(docs["doc_id"], docs["text"]) == gone["__gone"], "left_anti")
 
 
