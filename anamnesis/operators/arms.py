@@ -38,9 +38,9 @@ def dense(memories: DataFrame, vector: list[float], k: int = S.DEFAULT_DEPTH, pr
 
 def dense_many(memories: DataFrame, queries: DataFrame, k: int, digits: int | None = None, block: int = blocks.BLOCK) -> DataFrame:
     """Top k of every query (query_id, query) by type: a product in blocks of both sides, k rows a query and cell; rows without vector are none of them."""
-    rows = memories.where(F.size("vector") > 0).select(F.col("memory_type").cast("int").alias("grp"), F.col("id").cast("long").alias("id"), F.lit(0).cast("long").alias("batch"), "vector")
+    rows = memories.where(F.size("vector") > 0).select(F.col("memory_type").cast("int").alias("grp"), "id", F.lit(0).cast("long").alias("batch"), "vector")
     types = [r.grp for r in rows.select("grp").distinct().collect()]  # few
-    asked = queries.where(F.size("query") > 0).select(F.explode(F.array(*map(F.lit, types)).cast("array<int>")).alias("grp"), F.col("query_id").cast("long").alias("id"), F.lit(0).cast("long").alias("batch"), F.col("query").alias("vector"))
+    asked = queries.where(F.size("query") > 0).select(F.explode(F.array(*map(F.lit, types)).cast("array<int>")).alias("grp"), F.col("query_id").alias("id"), F.lit(0).cast("long").alias("batch"), F.col("query").alias("vector"))
 
     def pick(a, ba, b, bb, s):  # type: ignore[no-untyped-def]
         s = blocks.rounded(s, digits)

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK = 2048
-SIDES = "grp int, cell string, side int, id long, batch long, vector array<double>"
-#: of two sides (ids, batches, unit vectors each): rows of the left, rows of the right, score
+#: of two sides' ids (numbers in the ids' order) and batches, and the scores: rows of the left, rows of the right, score
 Pick = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -49,21 +48,27 @@ def _cells(rows: DataFrame, n: dict[int, int], m: dict[int, int], left: bool) ->
 def product(left: DataFrame, right: DataFrame, pick: Pick, block: int = BLOCK) -> DataFrame:
     """(grp, a, b, s) of the pairs that pick chooses of each cell.
 
-    left, right: grp int, id long, batch long, vector.  Vectors of one group have one dimension, else the task raises.
+    left, right: grp int, id (whole numbers or text), batch long, vector.  Vectors of one group have one dimension, else the task raises.
     """
+    types = [df.schema["id"].dataType.simpleString() for df in (left, right)]
+    plain = "bigint" if all(t in ("tinyint", "smallint", "int", "bigint") for t in types) else "string"
+    left, right = (df.withColumn("id", F.col("id").cast(plain)) for df in (left, right))
     n, m = _blocks(left, block), _blocks(right, block)
     both = _cells(left, n, m, True).union(_cells(right, n, m, False))
 
+    kind = pa.int64() if plain == "bigint" else pa.string()
+
     def multiply(grp: int, cell: list[np.ndarray]) -> pa.RecordBatch | None:
-        sides, ids, batches, x = cell
+        sides, names, batches, x = cell
         one, two = sides == 0, sides == 1
         if not one.any() or not two.any():
             return None
         x = unit(x)
+        own, ids = np.unique(names, return_inverse=True)
         i, j, s = pick(ids[one], batches[one], ids[two], batches[two], np.clip(x[one] @ x[two].T, -1, 1))
         if not len(i):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), grp, np.int32)), pa.array(ids[one][i]), pa.array(ids[two][j]), pa.array(s)], ["grp", "a", "b", "s"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), grp, np.int32)), pa.array(own[ids[one][i]].tolist(), kind), pa.array(own[ids[two][j]].tolist(), kind), pa.array(s)], ["grp", "a", "b", "s"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -77,7 +82,7 @@ def product(left: DataFrame, right: DataFrame, pick: Pick, block: int = BLOCK) -
                 if len(set(size.tolist())) > 1:
                     raise ValueError("vector dimensions differ")
                 x = v.flatten().to_numpy().reshape(len(size), -1)
-                out = multiply(t.column("grp")[0].as_py(), [t.column("side").to_numpy(), t.column("id").to_numpy(), t.column("batch").to_numpy(), x])
+                out = multiply(t.column("grp")[0].as_py(), [t.column("side").to_numpy(), np.array(t.column("id").to_pylist()), t.column("batch").to_numpy(), x])
                 if out is not None:
                     yield out
 
@@ -93,7 +98,7 @@ def product(left: DataFrame, right: DataFrame, pick: Pick, block: int = BLOCK) -
                 held.append(batch.slice(i, j - i))
         yield from flush()
 
-    return both.repartition("cell").sortWithinPartitions("cell", "side", "id").mapInArrow(run, "grp int, a long, b long, s double")
+    return both.repartition("cell").sortWithinPartitions("cell", "side", "id").mapInArrow(run, f"grp int, a {plain}, b {plain}, s double").select("grp", F.col("a").cast(types[0]).alias("a"), F.col("b").cast(types[1]).alias("b"), "s")
 
 
 def rounded(s: np.ndarray, digits: int | None) -> np.ndarray:

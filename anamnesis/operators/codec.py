@@ -19,7 +19,7 @@ from .arms import _rounded, top
 from .blocks import unit
 
 EPSILON = 5.0
-CODE = "id long, memory_type int, cluster_id int, code binary, low double, step double, rest double, norm double"
+CODE = "id {}, memory_type int, cluster_id int, code binary, low double, step double, rest double, norm double"
 
 
 class Rotation:
@@ -106,8 +106,8 @@ def encoded(assigned: DataFrame, centroids: np.ndarray, kind: str = "int8", seed
             code, *rest = encode(x, shared.value[b.column(2).to_numpy()], kind, rotation)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(code, pa.binary()), *map(pa.array, rest)], [f.split()[0] for f in CODE.split(", ")])
 
-    rows = assigned.where("cluster_id IS NOT NULL").select(F.col("id").cast("long"), F.col("memory_type").cast("int"), "cluster_id", F.col("vector").cast("array<double>").alias("vector"))
-    return rows.mapInArrow(run, CODE)
+    rows = assigned.where("cluster_id IS NOT NULL").select("id", F.col("memory_type").cast("int"), "cluster_id", F.col("vector").cast("array<double>").alias("vector"))
+    return rows.mapInArrow(run, CODE.format(assigned.schema["id"].dataType.simpleString()))
 
 
 def two_stage(assigned: DataFrame, codes: DataFrame, centroids: np.ndarray, vector: list[float], k: int, kind: str = "int8", predicate: Column | None = None, digits: int | None = None, seed: int = 7) -> DataFrame:
@@ -127,7 +127,7 @@ def two_stage(assigned: DataFrame, codes: DataFrame, centroids: np.ndarray, vect
                 lo, hi = bounds(b.column(3).to_pylist(), *(b.column(i).to_numpy() for i in (4, 5, 6)), base, q, kind, rotation)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lo), pa.array(hi)], ["id", "memory_type", "lo", "hi"])
 
-    scored = codes.mapInArrow(run, "id long, memory_type int, lo double, hi double")
+    scored = codes.mapInArrow(run, f"id {codes.schema['id'].dataType.simpleString()}, memory_type int, lo double, hi double")
     if predicate is not None:
         scored = scored.join(assigned.where(predicate).select("id"), "id", "left_semi")
     floor = top(scored.select("id", "memory_type", F.col("lo").alias("score")), k).groupBy("memory_type").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))

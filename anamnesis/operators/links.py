@@ -11,7 +11,7 @@ from . import blocks
 
 
 def _side(memories: DataFrame) -> DataFrame:
-    return memories.where(F.size("vector") > 0).select(F.col("memory_type").cast("int").alias("grp"), F.col("id").cast("long").alias("id"), F.col("batch").cast("long").alias("batch"), "vector")
+    return memories.where(F.size("vector") > 0).select(F.col("memory_type").cast("int").alias("grp"), "id", F.col("batch").cast("long").alias("batch"), "vector")
 
 
 def derive_links(memories: DataFrame, threshold: float = S.LINK_THRESHOLD, most: int = S.MAX_LINKS, digits: int | None = None, new: DataFrame | None = None, block: int = blocks.BLOCK) -> DataFrame:
