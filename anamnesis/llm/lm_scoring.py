@@ -91,8 +91,8 @@ def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def codes(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Group of each key, and the weight of each group."""
     order, begin = grouped(key)
-    code = np.empty(len(key), np.int64)
-    code[order] = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(key)))
+    code = np.empty(len(key), np.int32)
+    code[order] = np.repeat(np.arange(len(begin), dtype=np.int32), np.diff(begin, append=len(key)))
     return code, np.add.reduceat(weight[order], begin) if len(begin) else np.zeros(0, np.int64)
 
 
@@ -166,8 +166,8 @@ def longest(context: Context, rel: np.ndarray, d: np.ndarray, key: np.ndarray, w
     gid, size = codes(key, weight)
     size = size[gid]
     keep = np.bincount(gid, asks & (size > weight)) > 0
-    idx = np.flatnonzero(keep[gid] & (asks & (size > weight) | (weight > 0)))
-    lo, hi = d[idx], np.zeros(len(idx), np.int64)  # hi 0: no length is known yet that nobody shares
+    idx = np.flatnonzero(keep[gid] & (asks & (size > weight) | (weight > 0))).astype(np.int32)  # a shard's places: 32 bits halve what a worker holds
+    lo, hi = d[idx].astype(np.int32), np.zeros(len(idx), np.int32)  # hi 0: no length is known yet that nobody shares
     w, ask, gid, size = weight[idx], asks[idx], gid[idx], size[idx]
     while len(idx):
         done = (hi > 0) & (hi - lo == 1)
@@ -198,21 +198,22 @@ def longest(context: Context, rel: np.ndarray, d: np.ndarray, key: np.ndarray, w
         heads = np.flatnonzero(np.bincount(code, ~alone, len(total)) > 0)  # groups that stand for themselves as one
         heads = heads[wanted[gid[first[heads]]] & (total[heads] > 0)]
         rep = first[heads]
-        at = np.empty(len(idx), np.int64)
+        at = np.empty(len(idx), np.int32)
         at[fit] = code
+        groups = np.int32(len(total))
         part = [
             (idx[up], mid[up], hi[up], w[up], ask[up], at[up], total[at[up]]),
-            (idx[stay], lo[stay], mid[stay], w[stay], ask[stay], gid[stay] + len(total), size[stay]),
-            (idx[rep], lo[rep], mid[rep], total[heads], np.zeros(len(rep), bool), gid[rep] + len(total), size[rep]),
+            (idx[stay], lo[stay], mid[stay], w[stay], ask[stay], gid[stay] + groups, size[stay]),
+            (idx[rep], lo[rep], mid[rep], total[heads], np.zeros(len(rep), bool), gid[rep] + groups, size[rep]),
         ]
         idx, lo, hi, w, ask, gid, size = (np.concatenate(x) for x in zip(*part))
         order = np.argsort(idx, kind="stable")
         idx, lo, hi, w, ask, gid, size = (x[order] for x in (idx, lo, hi, w, ask, gid, size))
         # ids stay small
         if len(gid):
-            used = np.zeros(int(gid.max()) + 1, np.int64)
+            used = np.zeros(int(gid.max()) + 1, np.int32)
             used[gid] = 1
-            gid = (np.cumsum(used) - 1)[gid]
+            gid = (np.cumsum(used, dtype=np.int32) - np.int32(1))[gid]
     return length, others
 
 
@@ -221,14 +222,14 @@ class Places:
 
     def __init__(self, folder: str, names: list[str], offs: list[np.ndarray]):
         self.maps = [np.load(f"{folder}/{n}.npy", mmap_mode="r") for n in names]
-        self.file = np.repeat(np.arange(len(names)), [len(o) for o in offs])
-        self.off = np.concatenate(offs)
+        self.file = np.repeat(np.arange(len(names), dtype=np.int32), [len(o) for o in offs])
+        self.off = np.concatenate(offs).astype(np.int32)  # FILE or so at most, but for one long text
         rel, role = [], []
         for n, o in zip(names, offs):
             bounds, kind = np.load(f"{folder}/{n}-rows.npy")
             row = np.searchsorted(bounds, o, "left") - 1
-            rel.append(o - bounds[row])
-            role.append(kind[row])
+            rel.append((o - bounds[row]).astype(np.int32))
+            role.append(kind[row].astype(np.int8))
         self.rel, self.role = np.concatenate(rel), np.concatenate(role)
         self.inverse = A.powers(int(self.rel.max(initial=0)) + 2)[1]
         every = np.arange(len(self.off))
@@ -236,7 +237,7 @@ class Places:
 
     def _read(self, idx: np.ndarray, place: np.ndarray) -> np.ndarray:
         out = np.empty(len(idx), A.U)
-        cut = np.searchsorted(self.file[idx], np.arange(len(self.maps) + 1))
+        cut = np.searchsorted(self.file[idx], np.arange(len(self.maps) + 1, dtype=np.int32))
         for k in np.flatnonzero(np.diff(cut)):
             out[cut[k] : cut[k + 1]] = self.maps[k][place[cut[k] : cut[k + 1]]]
         return out
