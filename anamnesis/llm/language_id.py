@@ -12,9 +12,12 @@ Training text: labelled documents in the order of xxhash64(doc_id), up to
 ``TRAIN_CHARS`` characters a language, the documented bound of the fit.
 
 Defined cases: text is lower-cased, runs of anything but letters count as one
-space; a null text or one without letters has no phrases, score 0 and language null; a tie goes to the
-alphabetically first language; a null label trains nothing; without any label
-every language is null; equal rows get a row each; other columns are not read.
+space; a null text or one without letters has no phrases, score 0 and language
+null; a tie goes to the alphabetically first language; a null label trains
+nothing; a language with less labelled text than TRAIN_CHARS is parsed by what
+it has and is chosen more rarely, since fewer of its phrases are known; without
+any label every language is null; texts of any length are parsed whole; equal
+rows get a row each; other columns are not read.
 """
 
 from __future__ import annotations

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import arrays as A
-from .frames import texts, written
+from .frames import dropped, texts, written
 
 ROUNDS = 3
 CONFIDENCE = 0.9
@@ -188,14 +188,19 @@ def learn(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     edges = written(edges, "pii-graph")
     seeds = edges.groupBy("value").agg(*(F.max(k).alias(k) for k in kinds))
     scores = seeds
-    patterns = None
+    patterns = before = None
     for _ in range(rounds):
         scored = edges.select("pattern", "value").join(scores, "value")
         patterns = written(scored.groupBy("pattern").agg(F.count("*").alias("support"), *((F.sum(k) / (F.count("*") + SMOOTHING)).alias(k) for k in kinds)), "pii-patterns")
+        if before is not None:
+            dropped(before)
+        before = patterns
         best = edges.select("pattern", "value").join(patterns, "pattern").groupBy("value").agg(*(F.max(F.when(F.col("support") >= SUPPORT, F.col(k)).otherwise(0.0)).alias(f"p_{k}") for k in kinds))
         scores = seeds.join(best, "value").select("value", *(F.greatest(k, f"p_{k}").alias(k) for k in kinds))
     top = F.array_max(F.array(*(F.struct(F.col(k).alias("confidence"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, k in enumerate(kinds))))
-    return written(patterns.select("pattern", "support", top.alias("t")).where((F.col("t.confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("pattern", "t.kind", "t.confidence", "support"), "pii-accepted")
+    accepted = written(patterns.select("pattern", "support", top.alias("t")).where((F.col("t.confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("pattern", "t.kind", "t.confidence", "support"), "pii-accepted")
+    dropped(edges, patterns)
+    return accepted
 
 
 def decided(found: DataFrame, patterns: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
@@ -231,6 +236,7 @@ def redact(docs: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
     found = written(occurrences(docs), "pii-candidates")
     patterns = learn(found)
     if patterns.count() <= limit:
+        dropped(found)
         accepted = docs.sparkSession.sparkContext.broadcast({r.pattern: r.kind for r in patterns.collect()})  # limit rows
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

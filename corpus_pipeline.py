@@ -2,8 +2,15 @@
 
 Every stage's result is a Parquet table in the shared folder, read again by the
 next, so no lineage is longer than a stage and a lost executor costs one stage
-at most.  PII is scored iteratively, which SQL can't express: ORACLE_SQL is None
-and the tests hold the pipeline against brute force.
+at most; it is deleted when the next one is written.  PII is scored iteratively,
+which SQL can't express: ORACLE_SQL is None and the tests hold the pipeline
+against brute force.
+
+Defined cases: rows without text, or with nothing left of it, go in the first
+stage; rows with a null doc_id are judged like others but by their own text only
+(they have no near copies); rows that repeat a doc_id are documents of their
+own; columns beyond doc_id and text are carried, whatever their names; an empty
+table gives an empty result of the last stage's columns.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from anamnesis.llm import bpe, decontamination, ngram_join, pii, quality_rules
-from anamnesis.llm.frames import table, written
+from anamnesis.llm.frames import dropped, table, written
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
