@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from . import arrays as A
 from .frames import texts
@@ -231,8 +231,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_length: int = MIN_LENGTH) -> DataFrame:
     """The documents that leak no item: decided row by row within the map, so nothing is shuffled."""
     context = docs.sparkSession.sparkContext
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.lower(F.coalesce(docs["text"], F.lit(""))).alias("text"))
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("text", T.StringType())])
+    rows = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names that can't clash
+    text = rows[f"c{docs.columns.index('text')}"]
+    rows = rows.select("*", F.lower(F.coalesce(text, F.lit(""))).alias("text"))
     for ids_of in item_groups(benchmark):
         if not ids_of:
             continue
@@ -240,10 +241,15 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, rate, min_length)
-            for batch, buf, offs in A.slices(batches, "text", SLICE):
+            for batch in batches:
+                leaks: list[int] = []
+                first = 0
+                for part, buf, offs in A.slices(iter([batch]), "text", SLICE):
+                    leaks += [first + r for r, _, _ in matcher.leaks(*normalised(buf, offs))]
+                    first += part.num_rows
                 clean = np.ones(batch.num_rows, bool)
-                clean[[r for r, _, _ in matcher.leaks(*normalised(buf, offs))]] = False
-                yield batch if clean.all() else batch.filter(pa.array(clean))
+                clean[leaks] = False
+                yield batch if clean.all() else batch.filter(pa.array(clean))  # whole batches: a slice would carry all of its batch
 
-        rows = rows.mapInArrow(run, schema)
-    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.drop("text").toDF(*docs.columns)

@@ -42,7 +42,7 @@ def test_awkward_rows_go_through_all_stages(spark, tmp_path):
     prose = "The first sentence of this text is about nothing much. The second one goes on for a while, and then it ends. "
     leak = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
     rows = [
-        (1, prose * 3, "a"), (1, "Quite another text under the very same number. It shares no run of words.", "b"), (2, prose * 3, "c"), (None, prose * 3, "d"), (None, "A text without a number that says what no other does.", "e"),
+        (1, prose, "a"), (1, "Quite another text under the very same number. It shares no run of words.", "b"), (2, prose, "c"), (None, prose, "d"), (None, "A text without a number that says what no other does.", "e"),
         (3, None, "f"), (4, "", "g"), (5, " \n\t ", "h"), (6, f"So they wrote: {leak} And that was it.", "i"), (7, "Write to joe.smith@mail.example.com if you like to know more about this.", "j"),
         (8, "Menu\nHome\nLogin", "k"), (9, " ".join(f"word{k}" for k in range(40_000)) + ".", "l"), (10, "今天天气很好。我们去公园散步。", "m"), (10, "今天天气很好。我们去公园散步。", "m"),
     ]
