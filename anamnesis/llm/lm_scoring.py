@@ -31,6 +31,8 @@ A place travels in 1 to 4 bytes and returns in 2 to 8, packed.  The words stand
 as prefix hashes in files of the shared folder (a POSIX path that all executors
 see), 8 bytes a word, and word counts, sorted, in files there, so nothing that
 grows goes to the driver or is broadcast, except hot contexts (words / ``HOT``).
+A task that runs again writes the same files and blobs, so lost executors do no
+harm (as long as the documents come in the same order again, as from files).
 
 Defined cases: a row per scored row; null or wordless texts have n_words 0,
 logprob 0 and a null perplexity; a null id is reported as null; a context that
@@ -49,6 +51,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import arrays as A
@@ -114,6 +117,13 @@ def from_planes(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.int64)
 
 
+def placed(path: str, array: np.ndarray) -> None:
+    """Write an array's file whole or not at all; a task that runs again, or twice at once, replaces it by the same."""
+    tmp = f"{path}-{uuid.uuid4().hex}"
+    np.save(f"{tmp}.npy", array)
+    os.replace(f"{tmp}.npy", f"{path}.npy")
+
+
 def prefixes(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Prefix hashes: the entries between two places of a text, over a power of its place, are the hash of the words between."""
     length = np.diff(bounds)
@@ -388,15 +398,16 @@ def lm_scores(docs: DataFrame, scored: DataFrame | None = None, shard: int = SHA
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        size, part = 0, 0
+        task = TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
             h, length, role, ids, null = (np.concatenate(x) for x in zip(*held))
             bounds = np.concatenate(([0], np.cumsum(length)))
-            name = uuid.uuid4().hex
+            name = f"{task}-{part}"  # the same if the task runs again
             p = prefixes(h, bounds)
-            np.save(f"{folder}/{name}-rows.npy", np.stack((bounds, np.append(role, 0))))
-            np.save(f"{folder}/{name}.npy", p)
+            placed(f"{folder}/{name}-rows", np.stack((bounds, np.append(role, 0))))
+            placed(f"{folder}/{name}", p)
             off, rel, context = whole(p, bounds)
             d, own, _ = shortest(context, rel, frequent.value)
             order, cut = by_shard(rel, d, own, shards)
@@ -411,7 +422,7 @@ def lm_scores(docs: DataFrame, scored: DataFrame | None = None, shard: int = SHA
             size += len(h)
             if size >= FILE:
                 yield flush()
-                held, size = [], 0
+                held, size, part = [], 0, part + 1
         if held:
             yield flush()
 
