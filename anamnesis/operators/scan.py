@@ -25,6 +25,12 @@ def page(memories: DataFrame, limit: int = S.SCAN_DEFAULT, after: tuple | None =
     return (rows.offset(skip) if skip else rows).limit(min(limit, S.SCAN_MAX))
 
 
+def key_range(memories: DataFrame, low, high, limit: int | None = None) -> DataFrame:  # type: ignore[no-untyped-def]
+    """Rows with an id from low to high, both included, in order; the first of them with a limit.  The bounds reach the scan."""
+    rows = memories.where(F.col("id").between(low, high)).orderBy("id")
+    return rows if limit is None else rows.limit(limit)
+
+
 def page_created(memories: DataFrame, limit: int = S.SCAN_DEFAULT, after: tuple | None = None, predicate: Column | None = None) -> DataFrame:
     """A page in (updated_at, id) order over all types; rows without updated_at are never returned."""
     rows = memories.where("updated_at IS NOT NULL")

@@ -145,3 +145,9 @@ def layout(assigned: DataFrame) -> DataFrame:
         F.count("*").alias("size"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"), F.max(F.size("tags") == 0).alias("has_untagged"),
         F.min("updated_at").alias("updated_from"), F.max("updated_at").alias("updated_to"),
     )
+
+
+def block_means(assigned: DataFrame) -> DataFrame:
+    """(cluster_id, pos, mean): the mean vector of each cluster, a row per dimension."""
+    rows = assigned.where("cluster_id IS NOT NULL").select("cluster_id", F.posexplode("vector").alias("pos", "x"))
+    return rows.groupBy("cluster_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))

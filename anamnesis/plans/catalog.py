@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import scores as X
+from ..functions import scores as X, vector as V
 from ..operators import ann, arms, codec, curation, evaluate, fusion, links, predicates as P, scan, stats
 from ..session import scratch
 from ..sources.fixtures import BASE, HOUR, MEMORIES_SQL, OPS_SQL, memories, oplog, query_vector, table
@@ -763,3 +763,27 @@ def _(s, d):
         log = entry if log is None else log.unionByName(entry, allowMissingColumns=True)
     out = live.live(log)
     return out.select("id", "text", "updated_at", F.col("metadata")["consolidated"].alias("consolidated"), "proof_count", F.array_join("entity_ids", ",").alias("entities"), "write_seq")
+
+
+@query("key_range", _m("SELECT id, memory_type FROM m WHERE id BETWEEN 100 AND 180 ORDER BY id LIMIT 25"))
+def _(s, d):
+    return scan.key_range(memories(s, d), 100, 180, 25).select("id", "memory_type")
+
+
+@query("payload_with_vector_and_edges", _m("SELECT m.id, coalesce(len(vector), 0) AS dims, coalesce(n, 0) AS edges FROM m LEFT JOIN (SELECT src, count(*) AS n FROM causal GROUP BY 1) ON src = m.id"))
+def _(s, d):
+    full = scan.payload(memories(s, d), True, True)
+    return full.select("id", F.coalesce(F.size("vector"), F.lit(0)).cast("long").alias("dims"), F.size("causal_out").cast("long").alias("edges")).withColumn("dims", F.greatest("dims", F.lit(0)))
+
+
+@query("vector_functions", """SELECT vec_id, round(sqrt(list_inner_product(v, v)), 6) AS norm, round(list_inner_product(v, qv), 6) AS dot, round(pow(list_distance(v, qv), 2), 6) AS sq_dist,
+round(list_inner_product(list_transform(v, lambda x: 3 * x), qv) / sqrt(list_inner_product(v, v)) / 3, 6) AS unit_dot FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0)""")
+def _(s, d):
+    v, q = F.col("embedding"), F.array(*map(F.lit, query_vector(s, d)))
+    scaled = V.normalize(F.transform(v, lambda x: 3 * x))
+    return table(s, d, "embeddings").select("vec_id", *(F.round(f, 6).alias(n) for n, f in (("norm", V.norm(v)), ("dot", V.dot(v, q)), ("sq_dist", V.sq_dist(v, q)), ("unit_dot", V.dot(scaled, q)))))
+
+
+@query("block_means", "SELECT label AS cluster_id, (pos - 1)::INT AS pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL")
+def _(s, d):
+    return stats.block_means(table(s, d, "embeddings").select(F.col("label").alias("cluster_id"), F.col("embedding").alias("vector"))).withColumn("mean", F.round("mean", 6))

@@ -61,6 +61,12 @@ class Index:
         arms.postings(own, stem).repartitionByRange("term", "memory_type").sortWithinPartitions("term", "memory_type", "id").write.mode("overwrite").parquet(f"{self.path}/postings")
         arms.text_totals(own, stem).write.mode("overwrite").parquet(f"{self.path}/totals")
 
+    def warm(self, *names: str) -> Index:
+        """Keep tables in memory and on disk; an Index made anew reads what has been added since."""
+        for name in names or ("memories", "out", "in", "postings", "totals"):
+            self.table(name).persist().count()
+        return self
+
     def edges_of(self, rows: DataFrame) -> DataFrame:
         """Edges out of and into a few rows (memory_type, id), such as seeds: their ids reach the scans."""
         ids = [r.id for r in rows.select("id").distinct().collect()]  # seeds or entry points: some tens a type
