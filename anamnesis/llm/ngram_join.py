@@ -16,7 +16,8 @@ n-gram.  N-grams are hashes of ``BITS`` bits whatever the cluster.
    accumulates overlap counts.  Columns are gathered by their least document,
    which near copies share, so a pair's counts meet in few tasks; summed, pairs
    whose count cannot reach t / (1 + t) (n_a + n_b) any more are discarded.
-   Pairs travel packed by document, 16 bytes each, and not as rows.
+   Pairs travel packed by document, 16 bytes each, and not as rows; a task hands
+   on what it has counted, PAIRS pairs or so at a time.
 4. The remaining pairs get their full overlap from dense tiles of the product.
    A neighbourhood is cut into cells of ``SIDE`` documents a side, as a column of
    more than ``LONG`` is, each a task's work of its own; a set travels once per
@@ -46,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import arrays as A
-from .frames import dropped, parallelism, written
+from .frames import dropped, lean, parallelism, written
 
 N = 5
 THRESHOLD = 0.5
@@ -54,7 +55,9 @@ BITS = 54
 ROWS = 1 << (64 - BITS)
 SLICE = 1 << 20
 BATCH = 1 << 21
-TILE = 1 << 11
+TILE = 1 << 9
+DENSE = 1 << 10
+PAIRS = 1 << 20
 CHUNK = 1 << 22
 SIDE = LONG = 1 << 11
 MAX_BROADCAST = 1 << 20
@@ -157,7 +160,7 @@ def incidence(docs: DataFrame, n: int, blocks: int) -> DataFrame:
 
     own = docs.where(docs["doc_id"].isNotNull() & docs["text"].isNotNull())
     rows = own.select(node_of(docs["doc_id"], docs["text"]).alias("node"), docs["doc_id"].cast("long").alias("doc_id"), F.lower(docs["text"]).alias("text"))
-    return rows.mapInArrow(run, INCIDENCE)
+    return rows.mapInArrow(lean(run), INCIDENCE)
 
 
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
@@ -203,7 +206,7 @@ def shared_grams(entries: DataFrame, blocks: int) -> DataFrame:
         if out[0]:
             yield _batch(out, SHARED)
 
-    return entries.repartitionById(blocks, "block").mapInArrow(run, SHARED)
+    return entries.repartitionById(blocks, "block").mapInArrow(lean(run), SHARED)
 
 
 SURVIVOR = "batch long, place int, node long, doc_id long, n int, set_key long, grams binary"
@@ -238,7 +241,7 @@ def survivors(shared: DataFrame, threshold: float) -> DataFrame:
             if out[0]:
                 yield _batch(out, SURVIVOR)
 
-    return shared.repartition("batch").mapInArrow(run, SURVIVOR)
+    return shared.repartition("batch").mapInArrow(lean(run), SURVIVOR)
 
 
 LISTS = "home long, split int, docs binary, sizes binary, lengths binary"
@@ -303,7 +306,7 @@ def columns(sets: DataFrame, blocks: int, threshold: float, long: int = LONG) ->
                     out = [[] for _ in range(5)]
         for g in np.flatnonzero(length > long).tolist():
             own = slice(begin[g], begin[g] + length[g])
-            pieces = -(-int(length[g]) // long)
+            pieces = 1 << (-(-int(length[g]) // long) - 1).bit_length()  # columns of like lengths are cut alike, so their counts meet
             piece = (A.mix(doc[own].view(np.uint64).copy()) % np.uint64(pieces)).astype(np.int64)
             where = [np.flatnonzero(piece == k) for k in range(pieces)]
             for i in range(pieces):
@@ -318,86 +321,122 @@ def columns(sets: DataFrame, blocks: int, threshold: float, long: int = LONG) ->
         if out[0]:
             yield _batch(out, LISTS)
 
-    packed = sets.select(F.col("set_key").alias("node"), "n", "grams").mapInArrow(scatter, schema)
-    return packed.repartitionById(blocks, "block").mapInArrow(gather, LISTS)
+    packed = sets.select(F.col("set_key").alias("node"), "n", "grams").mapInArrow(lean(scatter), schema)
+    return packed.repartitionById(blocks, "block").mapInArrow(lean(gather), LISTS)
 
 
 PARTIAL = "b long, n int, others binary, sizes binary, counts binary"
 
 
+def by_larger(ids: np.ndarray, sizes: np.ndarray, large: np.ndarray, other: np.ndarray, times: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs, in order of the larger, as PARTIAL; those whose sizes alone rule them out are left out."""
+    a, b = sizes[large], sizes[other]
+    m = np.minimum(a, b) >= np.ceil(threshold * np.maximum(a, b) - EPS)
+    large, other, times = large[m], other[m], times[m]
+    at = np.append(np.flatnonzero(np.diff(large, prepend=-1)), len(large))
+    k = 0
+    while k < len(at) - 1:
+        e = min(k + 4096, max(k + 1, int(np.searchsorted(at, at[k] + PAIRS // 4, "right")) - 1))
+        who, cuts, here = large[at[k:e]], at[k : e + 1] - at[k], slice(at[k], at[e])
+        columns_ = ids[other[here]], sizes[other[here]].astype(np.int32), times[here].astype(np.uint32)
+        yield _batch([ids[who], sizes[who].astype(np.int32), *([_blob(x[i:j]) for i, j in zip(cuts, cuts[1:])] for x in columns_)], PARTIAL)
+        k = e
+
+
+def sparse_counts(ids: np.ndarray, sizes: np.ndarray, doc: np.ndarray, length: np.ndarray, split: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Overlap counts from the pairs of each column, PAIRS of them at a time; what is counted is handed on at once."""
+    begin = np.repeat(np.cumsum(length) - length, length)
+    place, cut = np.arange(len(doc)) - begin, np.repeat(split, length)
+    count = np.where(cut == 0, place, np.where(place >= cut, cut, 0))
+    order = np.argsort(doc, kind="stable")  # all pairs of a document at once, so few are handed on twice
+    doc_, begin, count = doc[order], begin[order], count[order]
+    total = np.concatenate(([0], np.cumsum(count)))
+    i = 0
+    while i < len(count):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + PAIRS, "right")) - 1)
+        if total[j] > total[i]:
+            x, y = np.repeat(doc_[i:j], count[i:j]), doc[A.ragged(begin[i:j], count[i:j])]
+            codes, times = np.unique(np.maximum(x, y) * len(ids) + np.minimum(x, y), return_counts=True)
+            del x, y
+            large, other = np.divmod(codes, len(ids))
+            real = large != other
+            yield from by_larger(ids, sizes, large[real], other[real], times[real], threshold)
+        i = j
+
+
+def dense_counts(ids: np.ndarray, sizes: np.ndarray, doc: np.ndarray, length: np.ndarray, split: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The same from tiles of the product of the incidence matrix with its transpose; columns that are cut and others apart."""
+    column, place = np.repeat(np.arange(len(length)), length), np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
+    cut = np.repeat(split, length)
+    side = DENSE
+    step = CHUNK // side
+
+    def block(m: np.ndarray, row: int, c: int) -> np.ndarray:
+        out = np.zeros((min(side, len(ids) - row), min(step, len(length) - c)), np.float32)
+        m = m[(column[m] >= c) & (column[m] < c + step)]
+        out[doc[m] - row, column[m] - c] = 1
+        return out
+
+    def rows_of(m: np.ndarray, row: int) -> np.ndarray:
+        return np.flatnonzero(m & (doc >= row) & (doc < row + side))
+
+    whole, first, rest = cut == 0, (cut > 0) & (place < cut), (cut > 0) & (place >= cut)
+    terms = [t for t in ((whole, whole), (first, rest), (rest, first)) if t[0].any()]
+    for i in range(0, len(ids), side):
+        for j in range(0, i + 1, side):
+            total = np.zeros((min(side, len(ids) - i), min(side, len(ids) - j)), np.float32)
+            for left, right in terms:
+                l, r = rows_of(left, i), rows_of(right, j)
+                for c in range(0, len(length), step):
+                    total += block(l, i, c) @ block(r, j, c).T
+            x, y = np.nonzero(np.tril(total, -1) if i == j else total)
+            yield from by_larger(ids, sizes, x + i, y + j, total[x, y], threshold)
+
+
 def product(lists: DataFrame, threshold: float) -> DataFrame:
-    """Overlap counts of pairs of documents, by the larger of both; pairs whose sizes alone rule them out are left out."""
+    """Overlap counts of pairs of documents, by the larger of both; pairs whose sizes alone rule them out are left out.
+
+    A pair may come in several rows, whose counts add up: a task holds its columns and the counts of PAIRS pairs or so,
+    however many pairs it has.  Small homes are counted together; a home of many pairs by itself, as a dense product
+    where that is less work.
+    """
+
+    def counted(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, doc = np.unique(np.concatenate([np.frombuffer(r[2], np.int64) for r in rows]), return_inverse=True)
+        sizes = np.zeros(len(ids), np.int64)
+        sizes[doc] = np.concatenate([np.frombuffer(r[3], np.int32) for r in rows])
+        length = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows]).astype(np.int64)
+        split = np.repeat([r[1] for r in rows], [len(r[4]) // 4 for r in rows])
+        pairs = sum(map(pairs_of, rows))
+        dense = pairs > PAIRS and len(ids) ** 2 * len(length) < 256 * pairs
+        yield from (dense_counts if dense else sparse_counts)(ids, sizes, doc, length, split, threshold)
+
+    def pairs_of(row: tuple) -> int:
+        n = np.frombuffer(row[4], np.uint32).astype(np.int64)
+        return int((row[1] * (n - row[1])).sum() if row[1] else (n * (n - 1) // 2).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list] = [[], [], [], []]
-        pieces: list[tuple] = []
+        homes: dict[int, list[tuple]] = {}
         for b in batches:
-            for split, docs, sizes, lengths in zip(*(b.column(k).to_pylist() for k in range(1, 5))):
-                row = (np.frombuffer(docs, np.int64), np.frombuffer(sizes, np.int32))
-                if split:
-                    pieces.append((split, *row))
-                else:
-                    for c, v in zip(parts, (*row, np.frombuffer(lengths, np.uint32))):
-                        c.append(v)
-        if not parts[0] and not pieces:
-            return
-        empty = np.zeros(0, np.int64)
-        doc, size = (np.concatenate([empty, *c]).astype(np.int64) for c in parts[:2])
-        column = np.repeat(np.arange(sum(map(len, parts[2]))), np.concatenate([empty, *parts[2]]).astype(np.int64))
-        ids = np.unique(np.concatenate([doc, *(p[1] for p in pieces)]))
-        sizes = np.zeros(len(ids), np.int64)
-        local = np.searchsorted(ids, doc)
-        sizes[local] = size
-        for _, d, n in pieces:
-            sizes[np.searchsorted(ids, d)] = n
-        most = np.minimum(np.floor(size / threshold + EPS), (1 << 31) - 1).astype(np.int64)
-        stop = np.searchsorted(column << 32 | size, column << 32 | most, "right")  # a column's documents are in order of their sizes
-        count = np.maximum(stop - np.arange(len(column)) - 1, 0)
-        codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        kept = 0
-
-        def tally(x: np.ndarray, y: np.ndarray) -> None:
-            nonlocal kept
-            u, c = np.unique(np.minimum(x, y) + np.maximum(x, y) * len(ids), return_counts=True)
-            held.append((u, c))
-            kept += len(u)
-            if kept > CHUNK:
-                fold()
-
-        def fold() -> None:
-            nonlocal codes, times, held, kept
-            u, inv = np.unique(np.concatenate([codes, *(h[0] for h in held)]), return_inverse=True)
-            codes, times = u, np.bincount(inv, weights=np.concatenate([times, *(h[1] for h in held)]), minlength=len(u)).astype(np.int64)
-            held, kept = [], 0
-
-        total = np.concatenate(([0], np.cumsum(count)))
-        i = 0
-        while i < len(count):
-            j = max(i + 1, int(np.searchsorted(total, total[i] + CHUNK, "right")) - 1)
-            if total[j] > total[i]:
-                tally(local[np.repeat(np.arange(i, j), count[i:j])], local[A.ragged(np.arange(i, j) + 1, count[i:j])])
-            i = j
-        for split, d, n in pieces:
-            d = np.searchsorted(ids, d)
-            first, rest, small = d[:split], d[split:], n[split:].astype(np.int64)
-            low = np.searchsorted(small, np.ceil(threshold * n[:split] - EPS), "left")
-            high = np.searchsorted(small, np.floor(n[:split] / threshold + EPS), "right")
-            for k in range(0, len(first), 512):
-                c = np.maximum(high[k : k + 512] - low[k : k + 512], 0)
-                tally(np.repeat(first[k : k + 512], c), rest[A.ragged(low[k : k + 512], c)])
-        fold()
-        width = max(len(ids), 1)
-        real = codes // width != codes % width
-        codes, times = codes[real], times[real]
-        large, other = codes // width, codes % width  # in order of the larger
-        at = np.flatnonzero(np.concatenate((np.ones(min(len(large), 1), bool), large[1:] != large[:-1])))
-        for k in range(0, len(at), 4096):
-            spans = list(zip(at[k : k + 4096].tolist(), [*at[k + 1 : k + 4096 + 1].tolist(), len(large)]))[: len(at[k : k + 4096])]
-            who = large[at[k : k + 4096]]
-            yield _batch([ids[who].tolist(), sizes[who].tolist(), *([_blob(x[i:j]) for i, j in spans] for x in (ids[other], sizes[other].astype(np.int32), times.astype(np.uint32)))], PARTIAL)
-
-    return lists.repartition("home").mapInArrow(run, PARTIAL)
+            for row in zip(*(b.column(k).to_pylist() for k in range(5))):
+                homes.setdefault(row[0], []).append(row)
+        held: list[tuple] = []
+        size = entries = 0
+        while homes:
+            rows = homes.popitem()[1]
+            own = sum(map(pairs_of, rows))
+            if own > PAIRS:
+                yield from counted(rows)
+                continue
+            held += rows
+            size, entries = size + own, entries + sum(len(r[2]) // 8 for r in rows)
+            if max(size, entries) > PAIRS:
+                yield from counted(held)
+                held, size, entries = [], 0, 0
+        if held:
+            yield from counted(held)
+
+    return lists.repartition("home").mapInArrow(lean(run), PARTIAL)
 
 
 CELLS = "cell long, node long, others binary"
@@ -419,8 +458,24 @@ def candidates(partial: DataFrame, threshold: float, side: int = SIDE) -> DataFr
                 rows.setdefault(b, []).append(rest)
                 size[b] = n
         out: list[list] = [[], [], []]
-        there: set[tuple[int, int]] = set()
-        for b, parts in rows.items():
+        there: list[tuple[np.ndarray, np.ndarray]] = []
+        held = known = 0
+
+        def settle() -> None:
+            nonlocal there, known
+            cell, node = (np.concatenate(x) for x in zip(*there))
+            order = np.lexsort((node, cell))
+            cell, node = cell[order], node[order]
+            once = np.concatenate(([True], (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])))
+            there, known = [(cell[once], node[once])], int(once.sum())
+
+        def members() -> Iterator[pa.RecordBatch]:
+            cell, node = there[0]
+            for k in range(0, len(cell), 1 << 16):
+                yield _batch([cell[k : k + (1 << 16)], node[k : k + (1 << 16)], [None] * len(cell[k : k + (1 << 16)])], CELLS)
+
+        while rows:
+            b, parts = rows.popitem()
             others, first, inv = np.unique(np.frombuffer(b"".join(r[0] for r in parts), np.int64), return_index=True, return_inverse=True)
             nb = np.frombuffer(b"".join(r[1] for r in parts), np.int32)[first].astype(np.int64)
             c = np.bincount(inv, np.frombuffer(b"".join(r[2] for r in parts), np.uint32))
@@ -434,46 +489,63 @@ def candidates(partial: DataFrame, threshold: float, side: int = SIDE) -> DataFr
             piece = A.mix(others.view(np.uint64).copy()) % np.uint64(pieces)
             with np.errstate(over="ignore"):
                 cell = A.mix(home[0] * np.uint64(A.BASE) + np.uint64(pieces << 32) + home[1] % np.uint64(pieces) + A.mix(piece + np.uint64(1))).view(np.int64)
-            for k in np.unique(cell).tolist():
-                own = others[cell == k]
-                for col, v in zip(out, (k, b, _blob(own))):
+            cells = np.unique(cell)
+            for k in cells.tolist():
+                for col, v in zip(out, (k, b, _blob(others[cell == k]))):
                     col.append(v)
-                there.add((k, b))
-                there.update((k, x) for x in own.tolist())
-            if len(out[0]) >= 4096:
+            there += [(cell, others), (cells, np.full(len(cells), b))]
+            held, known = held + len(others), known + len(others) + len(cells)
+            if len(out[0]) >= 4096 or held > PAIRS // 2:
                 yield _batch(out, CELLS)
-                out = [[], [], []]
+                out, held = [[], [], []], 0
+            if known > PAIRS:
+                settle()
+                if known > PAIRS // 2:  # those that come again are dropped later
+                    yield from members()
+                    there, known = [], 0
         if out[0]:
             yield _batch(out, CELLS)
         if there:
-            yield _batch([*map(list, zip(*there)), [None] * len(there)], CELLS)
-
-    return partial.repartition("b").mapInArrow(run, CELLS)
-
-
-def overlap(grams: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets x[i] and y[i], from dense tiles of the product of the incidence matrix with its transpose."""
-    size = np.array([len(g) for g in grams])
+            settle()
+            yield from members()
+
+    return partial.repartition("b").mapInArrow(lean(run), CELLS)
+
+
+def factors(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The incidence matrix of the n-grams that two sets or more hold: (row, column) of its entries by column, and its width."""
+    gram = np.concatenate(grams)
+    row = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+    parts, width = np.uint64(1 + len(gram) // PAIRS), 0
+    rows, columns_ = [], []
+    for p in range(int(parts)):
+        mine = np.flatnonzero(gram % parts == np.uint64(p))
+        mine = mine[np.argsort(gram[mine], kind="stable")]
+        new = np.diff(gram[mine], prepend=~gram[mine[:1]]) != 0
+        column = np.cumsum(new) - 1
+        common = np.bincount(column)[column] > 1
+        rows.append(row[mine[common]])
+        columns_.append((np.cumsum(new & common) - 1 + width)[common].astype(np.int32))
+        width += int((new & common).sum())
+    return np.concatenate(rows), np.concatenate(columns_), width
+
+
+def overlap(grams: list[np.ndarray], x: np.ndarray, y: np.ndarray, known: tuple[np.ndarray, np.ndarray, int] | None = None) -> np.ndarray:
+    """Sizes of the intersections of sets x[i] and y[i], from dense tiles of the product of the incidence matrix with its transpose (known: its factors)."""
     if not len(x):
         return np.zeros(0, np.int64)
-    u, column, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(grams)), size)
-    common = count > 1
-    number = np.cumsum(common) - 1
-    keep = common[column]
-    row, column = row[keep], number[column[keep]]
-    width = int(common.sum())
+    row, column, width = known or factors(grams)
     out = np.zeros(len(x), np.int64)
     tile = x // TILE * ((len(grams) // TILE) + 1) + y // TILE
     for t in np.unique(tile):
         mine = np.flatnonzero(tile == t)
         i, j = int(x[mine[0]]) // TILE * TILE, int(y[mine[0]]) // TILE * TILE
         h, w = min(TILE, len(grams) - i), min(TILE, len(grams) - j)
-        step = max(256, CHUNK // max(h, w))
+        step = max(256, CHUNK // max(h, w) // 2)
+        cuts = np.searchsorted(column, np.arange(0, width + step, step))
         total = np.zeros((h, w), np.float32)
-        for c in range(0, width, step):
-            here = (column >= c) & (column < c + step)
-            r, k = row[here], column[here] - c
+        for c, a, b in zip(range(0, width, step), cuts, cuts[1:]):
+            r, k = row[a:b], column[a:b] - c
             left = np.zeros((h, min(step, width - c)), np.float32)
             m = (r >= i) & (r < i + h)
             left[r[m] - i, k[m]] = 1
@@ -521,19 +593,26 @@ def verify(cells: DataFrame, sets: DataFrame, reps: DataFrame, threshold: float)
             return None
         members = sorted(sets_, key=lambda r: r[0])
         ids, n, copies = (np.array([m[k] for m in members]) for k in (0, 1, 2))
-        x = np.searchsorted(ids, np.repeat(np.array([b for b, _ in own_]), [len(o) // 8 for _, o in own_]))
-        y = np.searchsorted(ids, np.frombuffer(b"".join(o for _, o in own_), np.int64))
-        common = overlap([unpack([m[3]]) for m in members], x, y)
-        j = common / (n[x] + n[y] - common)
-        ok = j >= threshold - EPS
-        if not ok.any():
+        grams = [unpack([m[3]]) for m in members]
+        known = factors(grams)
+        at = np.searchsorted(ids, np.array([b for b, _ in own_]))
+        links, best = np.zeros(len(ids)), np.zeros(len(ids))
+        roots: list[tuple[np.ndarray, np.ndarray]] = []
+        for t in np.unique(at // TILE):  # a row of tiles at a time
+            mine = np.flatnonzero(at // TILE == t)
+            x = np.repeat(at[mine], [len(own_[k][1]) // 8 for k in mine])
+            y = np.searchsorted(ids, np.frombuffer(b"".join(own_[k][1] for k in mine), np.int64))
+            common = overlap(grams, x, y, known)
+            j = common / (n[x] + n[y] - common)
+            ok = j >= threshold - EPS
+            x, y, j = x[ok], y[ok], j[ok]
+            links += np.bincount(x, copies[y], len(ids)) + np.bincount(y, copies[x], len(ids))
+            np.maximum.at(best, x, j)
+            np.maximum.at(best, y, j)
+            roots.append(stars(x, y))
+        nodes, root = stars(*(np.concatenate(c) for c in zip(*roots)))
+        if not len(nodes):
             return None
-        x, y, j = x[ok], y[ok], j[ok]
-        nodes, root = stars(x, y)
-        links = np.bincount(x, copies[y], len(ids)) + np.bincount(y, copies[x], len(ids))
-        best = np.zeros(len(ids))
-        np.maximum.at(best, x, j)
-        np.maximum.at(best, y, j)
         return pa.RecordBatch.from_arrays([pa.array(ids[nodes]), pa.array(ids[root]), pa.array(links[nodes].astype(np.int64)), pa.array(best[nodes])], ["node", "root", "links", "best"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -553,7 +632,7 @@ def verify(cells: DataFrame, sets: DataFrame, reps: DataFrame, threshold: float)
         if out is not None:
             yield out
 
-    return both.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, LINKS)
+    return both.repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(run), LINKS)
 
 
 def folded(docs: DataFrame, n: int, threshold: float, side: int = SIDE) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -142,6 +142,33 @@ def test_overlap_in_tiles(monkeypatch):
     assert ngram_join.overlap(grams, x, y).tolist() == [len(np.intersect1d(grams[a], grams[b])) for a, b in zip(x, y)]
 
 
+def test_pairs_are_counted_in_bounded_memory(monkeypatch):
+    """However many pairs a task's columns have, the counts held at once are of PAIRS pairs or so."""
+    rng = np.random.default_rng(1)
+    ids = np.sort(rng.choice(10_000, 90, replace=False)).astype(np.int64)
+    sizes, length = rng.integers(5, 20, 90), rng.integers(2, 80, 60)
+    split = np.array([rng.integers(1, n) if k % 3 == 0 else 0 for k, n in enumerate(length)])
+    cols = [rng.choice(90, n, replace=False) for n in length]
+    want = {}
+    for col, s in zip(cols, split):
+        for i, y in enumerate(col):
+            for x in col[: (s if i >= s else 0) if s else i]:
+                a, b = max(x, y), min(x, y)
+                if 2 * min(sizes[a], sizes[b]) >= max(sizes[a], sizes[b]):
+                    want[ids[a], ids[b]] = want.get((ids[a], ids[b]), 0) + 1
+    monkeypatch.setattr(ngram_join, "PAIRS", 100)
+    monkeypatch.setattr(ngram_join, "DENSE", 16)
+    monkeypatch.setattr(ngram_join, "CHUNK", 256)
+    for f in (ngram_join.sparse_counts, ngram_join.dense_counts):
+        got, most = {}, 0
+        for batch in f(ids, sizes, np.concatenate(cols), length, split, 0.5):
+            rows = [(a, b, c) for a, _, o, _, t in zip(*(c.to_pylist() for c in batch.columns)) for b, c in zip(np.frombuffer(o, np.int64), np.frombuffer(t, np.uint32))]
+            most = max(most, len(rows))
+            for a, b, c in rows:
+                got[a, b] = got.get((a, b), 0) + c
+        assert got == want and most <= 200 < len(want)
+
+
 def distance(p, t):
     prev = [0] * (len(t) + 1)
     for i in range(1, len(p) + 1):
