@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import arrays as A
-from .frames import shared_dir, texts, written
+from .frames import lean, shared_dir, texts, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LEXICON = 1 << 17
@@ -394,7 +394,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             words = pa.BinaryArray.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), data])
             yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(code).astype(np.int64))], ["word", "n"])
 
-    return texts(docs, lower=False).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts(docs, lower=False).mapInArrow(lean(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, ranks: dict[bytes, int], size: int = LEXICON, longest: int = 64) -> Lexicon:
@@ -452,7 +452,7 @@ def bpe(docs: DataFrame, vocabulary: str = VOCABULARY, lexicon: int = LEXICON) -
                 ["doc_id", "n_tokens", "tokens", "round_trip"],
             )
 
-    return texts(docs, lower=False).mapInArrow(run, SCHEMA)
+    return texts(docs, lower=False).mapInArrow(lean(run), SCHEMA)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -477,4 +477,4 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             out = [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string(), mask=tokens.is_null().to_numpy(zero_copy_only=False))], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens").mapInArrow(lean(run), "doc_id long, text string")
