@@ -1,8 +1,10 @@
 """Steps whose cost or result once changed with the size of the tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from anamnesis.operators import blocks
 from anamnesis.sources.fixtures import oplog
 
 
@@ -22,3 +24,17 @@ def test_oplog_numbers_rows_once(spark, tmp_path, merge):
         spark.conf.unset(key)
     order = sorted(range(n), key=lambda i: (int(i * 7919 % n / 3), i)) + [n]  # without a time: last
     assert [got[i] for i in order] == list(range(n + 1))
+
+
+def test_products_replicate_rows_by_blocks_not_by_pairs(spark):
+    """Rows that are shuffled: the left ones once, the right ones BLOCKS times at most, however many pairs there are."""
+    n = 6000
+    rows = spark.range(n).select(F.lit(1).alias("grp"), "id", F.lit(0).cast("long").alias("batch"), F.array(F.cos(F.col("id") * 0.7), F.sin(F.col("id") * 0.7)).cast("array<float>").alias("vector"))
+    few, many = (sum(blocks._sizes(rows.limit(k), None).values()) for k in (n // 2, n))
+    assert few == many == blocks.BLOCKS
+    got = blocks.product(rows, rows, 6, most=3, ok=lambda a, ba, b, bb: a != b)
+    x = blocks.unit(np.array([r.vector for r in rows.orderBy("id").collect()], float))
+    s = np.round(np.clip(x @ x.T, -1, 1), 6)
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(n) for j in np.lexsort((np.arange(n), -s[i]))[:3]}
+    assert {(r.a, r.b) for r in got.collect()} == want
