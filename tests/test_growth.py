@@ -56,3 +56,14 @@ def test_judgements_by_group_are_those_of_all_pairs(spark):
 def test_the_judgements_of_the_queries_are_a_row_a_vector(spark):
     _, groups = catalog.run_and_groups(spark, SF)
     assert groups.count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+
+
+def test_bounded_search_makes_no_row_of_a_query_and_a_cluster(spark):
+    """Every query with every row of the clusters it reads was a row of a join."""
+    rng = np.random.default_rng(4)
+    m = spark.createDataFrame([(i, 1, [float(a) for a in v]) for i, v in enumerate(rng.normal(size=(50, 8)))], "id long, memory_type int, vector array<double>")
+    c = ann.train(m)
+    q = m.select("id", "vector").toDF("query_id", "query")
+    found = ann.search_many(ann.assign(m, c), c, q, 5, 6)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, arms.dense_many(m, q, 5, 6).collect()))
