@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from anamnesis.functions.text import query_terms
 from anamnesis.operators import ann, arms, blocks, evaluate
 from anamnesis.plans import catalog
 from anamnesis.sources.fixtures import oplog
@@ -67,3 +68,42 @@ def test_bounded_search_makes_no_row_of_a_query_and_a_cluster(spark):
     found = ann.search_many(ann.assign(m, c), c, q, 5, 6)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, arms.dense_many(m, q, 5, 6).collect()))
+
+
+TEXTS = [(1, 1, "Running runs 北京大学 license, licensed."), (2, 1, "dying die ran runner the LICENSE"), (3, 1, ""), (4, 2, "conditional condition 大学 ability able abilities"), (5, 2, None), (6, 2, "ＧＰＴ gpt skies sky x_1")]
+
+
+def test_texts_are_scored_in_one_pass_as_from_postings(spark):
+    m = spark.createDataFrame(TEXTS, "id long, memory_type int, text string").select("id", "memory_type", "text")
+    for stem, terms in ((False, ["license", "gpt", "sky", "die"]), (True, ["run", "licens", "condit", "abl", "die", "sky", "gpt"])):
+        for predicate in (None, F.col("id") != 1):
+            allowed = None if predicate is None else m.where(predicate)
+            want = arms.bm25_from(arms.postings(m, stem), arms.text_totals(m, stem), terms, 3, allowed, digits=6)
+            got = arms.bm25(m, terms, 3, predicate, digits=6, stem=stem)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+            assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # no row a word
+    query = query_terms("license 大学 gpt 使用 x_1")
+    want = arms.bm25_fields(arms.field_postings(m), arms.field_totals(m), query, 5, digits=6)
+    assert sorted(map(tuple, arms.bm25_texts(m, query, 5, digits=6).collect())) == sorted(map(tuple, want.collect())) != []
+    assert arms.bm25(m, []).count() == 0
+
+
+def test_a_word_begins_like_its_stem():
+    """What lets a search stem only the words that begin like a term."""
+    from anamnesis.functions.stem import STEP_2, STEP_3, STEP_4, WHOLE, stem
+
+    ends = [a for a, _ in (*STEP_2, *STEP_3)] + list(STEP_4) + ["ing", "ed", "ingly", "eedly", "ied", "ies", "s", "y", "e", "biliti", "bility", "ization", "ly", ""]
+    for head in ("a", "y", "say", "rel", "comb", "gener", "activ", "hopp", "sensi", "x", "oper", "ob", "fl", "vale"):
+        for one in ends:
+            for two in ends:
+                w = head + one + two
+                s = stem(w)
+                assert w in WHOLE or w.startswith(s[: max(1, len(s) - 3)])
+
+
+def test_document_frequencies_are_those_of_the_postings(spark):
+    m = spark.createDataFrame(TEXTS, "id long, memory_type int, text string")
+    want = arms.postings(m).groupBy("memory_type", "term").agg(F.count("*").alias("df"))
+    got = arms.document_frequencies(m)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "dl" not in got._jdf.queryExecution().executedPlan().toString()  # no posting travels
