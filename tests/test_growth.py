@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from anamnesis.functions.text import query_terms
-from anamnesis.operators import ann, arms, blocks, evaluate
+from anamnesis.operators import ann, arms, blocks, evaluate, links
 from anamnesis.plans import catalog
+from anamnesis.plans.index import Rows
 from anamnesis.sources.fixtures import oplog
 
 from .compare import SF
@@ -107,3 +108,14 @@ def test_document_frequencies_are_those_of_the_postings(spark):
     got = arms.document_frequencies(m)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "dl" not in got._jdf.queryExecution().executedPlan().toString()  # no posting travels
+
+
+def test_a_request_derives_the_edges_of_its_rows_only(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, 1 + i % 2, i // 20, [float(a) for a in rng.normal(size=6)], [], "") for i in range(1500)]
+    m = spark.createDataFrame(rows, "id long, memory_type int, batch long, vector array<double>, causal_out array<struct<target:long,link_type:string,weight:double>>, text string")
+    m.write.parquet(f"{tmp_path}/memories")
+    ids = [3, 40, 701, 1499]
+    want = {(r.src, r.dst, r.weight) for r in links.derive_links(m, 0.2, digits=6).collect() if r.src in ids or r.dst in ids}
+    got = [(r.src, r.dst, r.weight) for r in Rows(spark, str(tmp_path), 0.2, 6).edges_of(m.where(F.col("id").isin(ids))).collect()]
+    assert set(got) == want and len(got) == len(want) and any(d in ids for _, d, _ in got)
